@@ -213,7 +213,9 @@ scores AS (
 ORDERS_PER_PART = 1000
 
 
-def documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+def documents(
+    spark: SparkSession, sf_dir: str, broken: bool = False, units: tuple[str, ...] = ("USD",)
+) -> DataFrame:
     """Company-facts documents (symbol, part, text) built from `facts`; optionally every tenth firm's text is cut."""
     rows = facts(spark, sf_dir).withColumn("part", F.floor(F.col("accn") / ORDERS_PER_PART).cast("int"))
     fact = F.struct(
@@ -224,7 +226,7 @@ def documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFra
     plain = F.transform("list", lambda x: x.dropFields("pos"))
     by_ns = by_tag.groupBy("symbol", "part", "ns").agg(
         F.map_from_entries(F.collect_list(F.struct(
-            "tag", F.struct(F.create_map(F.lit("USD"), plain).alias("units"))
+            "tag", F.struct(F.create_map(*[x for u in units for x in (F.lit(u), plain)]).alias("units"))
         ))).alias("concepts")
     )
     text = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("ns", "concepts"))).alias("facts")))

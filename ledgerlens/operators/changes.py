@@ -8,26 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-FIRM_YEARS = Window.partitionBy("symbol").orderBy("fy")
+
+def firm_years() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("fy")
 
 
 def previous(value: Column) -> Column:
     """Value of the firm's previous row; the first row refers to itself."""
-    first_row = F.row_number().over(FIRM_YEARS) == 1
-    return F.when(first_row, value).otherwise(F.lag(value, 1).over(FIRM_YEARS))
+    first_row = F.row_number().over(firm_years()) == 1
+    return F.when(first_row, value).otherwise(F.lag(value, 1).over(firm_years()))
 
 
 def change(value: Column, strict_year: bool = False) -> Column:
     """Difference to the previous row. With `strict_year` a gap between fiscal years gives null."""
     difference = value - previous(value)
     if strict_year:
-        gap = F.col("fy") - F.lag("fy", 1).over(FIRM_YEARS)
+        gap = F.col("fy") - F.lag("fy", 1).over(firm_years())
         difference = F.when(F.coalesce(gap, F.lit(1)) == 1, difference)
     return difference
 
 
 def drop_first_year(panel: DataFrame) -> DataFrame:
     """Remove every firm's first row; firms with one year vanish."""
-    return panel.withColumn("_rn", F.row_number().over(FIRM_YEARS)).filter(F.col("_rn") > 1).drop("_rn")
+    return panel.withColumn("_rn", F.row_number().over(firm_years())).filter(F.col("_rn") > 1).drop("_rn")

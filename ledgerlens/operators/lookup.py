@@ -38,8 +38,8 @@ def resolve_identifiers(tickers: DataFrame, directory: DataFrame) -> DataFrame:
 
 
 def unresolved(tickers: DataFrame, directory: DataFrame) -> DataFrame:
-    """Distinct tickers that no layer resolves."""
-    return tickers.select("ticker").distinct().join(directory, "ticker", "left_anti")
+    """Distinct tickers that no layer resolves. A missing ticker is an empty slot, not a company."""
+    return tickers.select("ticker").na.drop().distinct().join(directory, "ticker", "left_anti")
 
 
 def restrict_to_worklist(facts: DataFrame, worklist: DataFrame) -> DataFrame:

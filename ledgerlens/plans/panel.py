@@ -36,11 +36,18 @@ def items_per_firm_year(
     years: tuple[int, ...] | None = PANEL_YEARS,
     ranks: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep-last facts -> canonical items, wide. Ranks see all years; only then are years selected."""
-    ranks = cut_lineage(rank_candidates(facts, rules)) if ranks is None else ranks
-    kept = facts if years is None else facts.filter(F.col("fy").isin(*years))
-    wide = resolve_items(keep_last(kept), ranks, rules, items)
-    return wide.withColumn("FY_symbol", firm_year_key())
+    """Annual facts -> canonical items, wide. Ranks see all years; only then are years selected.
+
+    The keep-last rows feed both the ranks and the items. They are checkpointed, so the large shuffles over raw
+    facts run once; with saved `ranks` there is nothing to share.
+    """
+    kept = keep_last(facts).select("symbol", "fy", "tag", "val")
+    if ranks is None:
+        kept = cut_lineage(kept)
+        ranks = rank_candidates(kept, rules)
+    if years is not None:
+        kept = kept.filter(F.col("fy").isin(*years))
+    return resolve_items(kept, ranks, rules, items).withColumn("FY_symbol", firm_year_key())
 
 
 def facts_to_panel(
