@@ -6,7 +6,8 @@ Every `fit_*` takes training rows as they are (down-sample them first, see `fit_
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -23,6 +24,8 @@ from ledgerlens.session import shared_dir
 # Trees are grown this deep; Spark's own default (5) is shallow for unpruned forests.
 FOREST_DEPTH = 8
 
+ROWS_PER_FIT_TASK = 20_000
+
 # Parameters the scoring job uses.
 SCORING_PARAMS = {
     "forest": {"mtry": 7, "trees": 200},
@@ -91,15 +94,26 @@ FITTERS: dict[str, Callable[..., PipelineModel]] = {
 }
 
 
+@contextmanager
+def balanced_rows(df: DataFrame, label: str, key: str, seed: int = 1) -> Iterator[DataFrame]:
+    """Down-sampled rows, kept in memory (or on disk) for the many passes of a fit.
+
+    Iterative fits run one short job per pass: tasks hold at least `ROWS_PER_FIT_TASK` rows, so small data does
+    not pay for empty tasks and large data keeps all its partitions.
+    """
+    kept = downsample(df, label, key, seed).persist()
+    try:
+        yield kept.coalesce(max(1, -(-kept.count() // ROWS_PER_FIT_TASK)))
+    finally:
+        kept.unpersist()
+
+
 def fit_balanced(
     kind: str, df: DataFrame, features: list[str], label: str, key: str, seed: int = 1, **params
 ) -> PipelineModel:
-    """Down-sample, then fit. The balanced rows are kept for the fit's many passes."""
-    balanced = downsample(df.select(key, label, *features), label, key, seed).persist()
-    try:
+    """Down-sample, then fit."""
+    with balanced_rows(df.select(key, label, *features), label, key, seed) as balanced:
         return FITTERS[kind](balanced, features, label, seed=seed, **params)
-    finally:
-        balanced.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, pred: str = "pred", score: str = "score") -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.metrics import confusion_matrix, fold_metrics, roc_auc, summarise_folds
-from ledgerlens.operators.models import FITTERS, fit_balanced, predict
+from ledgerlens.operators.models import FITTERS, balanced_rows, fit_balanced, predict
 from ledgerlens.operators.ordering import hash_row_number
-from ledgerlens.operators.resample import downsample
 from ledgerlens.session import cut_lineage, scratch_path
 
 # Tree prefixes are scored in one projection with a column per tree; larger ensembles are fitted one by one.
@@ -87,15 +86,13 @@ def tune_grid(
         scored.write.parquet(f"{target}/fold={f}/first={points[0]['config']}")
 
     for f in folds:
-        analysis = downsample(rows.filter(F.col(fold) != f), label, key, seed).persist()
-        with ThreadPoolExecutor(max_workers=threads) as pool:
+        with balanced_rows(rows.filter(F.col(fold) != f), label, key, seed) as analysis, ThreadPoolExecutor(threads) as pool:
             jobs = [
                 pool.submit(inheritable_thread_target(spark)(run), f, points, analysis)
                 for points in _prefix_groups(kind, grid)
             ]
             for job in jobs:
                 job.result()
-        analysis.unpersist()
 
     scored = spark.read.parquet(target).select("config", F.col("fold").cast("int").alias("fold"), "truth", "pred", "score")
     return fold_metrics(scored, ["config", "fold"], group_bound=len(grid) * len(folds))
