@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import views as V
 from ledgerlens.catalog.registry import query, r6
 from ledgerlens.catalog.relational import COMPLETE_SQL, complete
-from ledgerlens.functions.expressions import firm_year_key, zero_fill
+from ledgerlens.functions.expressions import firm_year_key
 from ledgerlens.operators import stats as S
 from ledgerlens.operators.canonical import tag_counts
 from ledgerlens.operators.changes import change, drop_first_year, previous
@@ -83,7 +83,7 @@ def w6(spark, sf_dir):
 @query("w7_lag_self_default", V.sql(V.PANEL_SQL, select="""SELECT symbol, fy, Assets,
   lag(Assets, 1, Assets) OVER (PARTITION BY symbol ORDER BY fy) AS previous_assets FROM panel"""))
 def w7(spark, sf_dir):
-    return V.panel(spark, sf_dir).select("symbol", "fy", "Assets", previous(F.col("Assets")).alias("previous_assets"))
+    return V.panel(spark, sf_dir).select("symbol", "fy", "Assets", previous("Assets").alias("previous_assets"))
 
 
 @query("w8_change", V.sql(V.PANEL_SQL, select="""SELECT symbol, fy,
@@ -91,7 +91,7 @@ def w7(spark, sf_dir):
   FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY fy)"""))
 def w8(spark, sf_dir):
     return V.panel(spark, sf_dir).select(
-        "symbol", "fy", change(F.col("Assets")).alias("change"), change(F.col("Equity")).alias("equity_change")
+        "symbol", "fy", change("Assets").alias("change"), change("Equity").alias("equity_change")
     )
 
 
@@ -99,7 +99,7 @@ def w8(spark, sf_dir):
   CASE WHEN fy - lag(fy, 1, fy - 1) OVER w = 1 THEN Assets - lag(Assets, 1, Assets) OVER w END AS change
   FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY fy)"""))
 def w8_strict(spark, sf_dir):
-    return V.panel(spark, sf_dir).select("symbol", "fy", change(F.col("Assets"), strict_year=True).alias("change"))
+    return V.panel(spark, sf_dir).select("symbol", "fy", change("Assets", strict_year=True).alias("change"))
 
 
 @query("w9_share_of_total", V.sql(V.SCORES_SQL, select="""SELECT truth, COUNT(*) AS n,

@@ -118,7 +118,7 @@ _WC = "(CurrentAssets - CurrentLiabilities)"
 
 
 def _term(text: str) -> str:
-    return _WC if text and text.startswith("CurrentAssets -") else text
+    return _WC if text and text.startswith("(CurrentAssets -") else text
 
 
 def _ratio_sql(a: str, b: str) -> str:

@@ -52,15 +52,10 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
 
-def finite_or_zero(value: Column | str) -> Column:
-    value = _col(value)
-    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    return F.when(usable, value).otherwise(F.lit(0.0))
-
-
 def zero_fill(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Replace null, NaN and infinite values of the given columns by 0."""
-    return df.withColumns({c: finite_or_zero(F.col(c).cast("double")) for c in columns})
+    kept = "CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = double('Infinity') THEN 0D ELSE double({c}) END"
+    return df.withColumns({c: F.expr(kept.format(c=c)) for c in columns})
 
 
 def metric_title(metric: Column | str = "metric") -> Column:

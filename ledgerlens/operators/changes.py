@@ -8,28 +8,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
 
+FIRM_YEARS = "(PARTITION BY symbol ORDER BY fy)"
 
-def firm_years() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("fy")
 
+def lagged(value: str) -> str:
+    """SQL for the firm's previous value; the first row refers to itself.
 
-def previous(value: Column) -> Column:
-    """Value of the firm's previous row; the first row refers to itself."""
-    first_row = F.row_number().over(firm_years()) == 1
-    return F.when(first_row, value).otherwise(F.lag(value, 1).over(firm_years()))
+    The SQL function takes a column as its default, `functions.lag` a literal only.
+    """
+    return f"lag({value}, 1, {value}) OVER {FIRM_YEARS}"
 
 
-def change(value: Column, strict_year: bool = False) -> Column:
-    """Difference to the previous row. With `strict_year` a gap between fiscal years gives null."""
-    difference = value - previous(value)
+def change_sql(value: str, strict_year: bool = False) -> str:
+    """SQL for the difference to the previous row. With `strict_year` a gap between fiscal years gives null."""
+    difference = f"{value} - {lagged(value)}"
     if strict_year:
-        gap = F.col("fy") - F.lag("fy", 1).over(firm_years())
-        difference = F.when(F.coalesce(gap, F.lit(1)) == 1, difference)
+        return f"CASE WHEN fy - lag(fy, 1, fy - 1) OVER {FIRM_YEARS} = 1 THEN {difference} END"
     return difference
 
 
+def previous(value: str) -> Column:
+    return F.expr(lagged(value))
+
+
+def change(value: str, strict_year: bool = False) -> Column:
+    return F.expr(change_sql(value, strict_year))
+
+
 def drop_first_year(panel: DataFrame) -> DataFrame:
     """Remove every firm's first row; firms with one year vanish."""
-    return panel.withColumn("_rn", F.row_number().over(firm_years())).filter(F.col("_rn") > 1).drop("_rn")
+    numbered = panel.withColumn("_rn", F.expr(f"row_number() OVER {FIRM_YEARS}"))
+    return numbered.filter(F.col("_rn") > 1).drop("_rn")

@@ -7,10 +7,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.expressions import ratio, zero_fill
-from ledgerlens.operators.changes import change, drop_first_year, previous
+from ledgerlens.functions.expressions import zero_fill
+from ledgerlens.operators.changes import change, change_sql, drop_first_year, lagged
 
-WORKING_CAPITAL = "CurrentAssets - CurrentLiabilities"
+WORKING_CAPITAL = "(CurrentAssets - CurrentLiabilities)"
 
 # Ratio name, numerator, denominator.
 RATIO_PARTS = (
@@ -63,17 +63,18 @@ FEATURES = RATIO_NAMES + CHANGE_NAMES
 ACCRUAL_TERMS = ["IV1", "IV2", "IV3", "IV4"]
 
 
-def days_of_sales() -> Column:
-    """360 / turnover. No receivables on real sales means infinite turnover, hence a genuine 0 days."""
-    settled = (F.col("AccountsReceivable") == 0) & (F.col("Revenues") != 0)
-    turnover = ratio("Revenues", "AccountsReceivable")
-    return F.when(settled, F.lit(0.0)).otherwise(F.try_divide(F.lit(360.0), turnover))
+# 360 / turnover. No receivables on real sales means infinite turnover, hence a genuine 0 days.
+DAYS_OF_SALES = (
+    "CASE WHEN AccountsReceivable = 0 AND Revenues <> 0 THEN 0D "
+    "ELSE try_divide(360D, try_divide(double(Revenues), double(AccountsReceivable))) END"
+)
 
 
 def ratio_columns() -> dict[str, Column]:
-    columns = {n: ratio(F.expr(a), F.expr(b)) for n, a, b in RATIO_PARTS if a is not None}
-    columns["DaysSalesinAccountingReceivable"] = days_of_sales()
-    return {name: columns[name] for name in RATIO_NAMES}
+    return {
+        name: F.expr(DAYS_OF_SALES if over is None else f"try_divide(double({over}), double({under}))")
+        for name, over, under in RATIO_PARTS
+    }
 
 
 def ratio_features(panel: DataFrame, fill: bool = True) -> DataFrame:
@@ -83,27 +84,26 @@ def ratio_features(panel: DataFrame, fill: bool = True) -> DataFrame:
 
 
 def change_features(panel: DataFrame, strict_year: bool = False) -> DataFrame:
-    """17 changes on top of the unfilled ratios, then zero fill: one window for all of them."""
-    base = panel if RATIO_NAMES[0] in panel.columns else ratio_features(panel, fill=False)
-    changed = base.withColumns({name: change(F.expr(of), strict_year) for name, of in CHANGE_OF})
+    """19 ratios and 17 changes of the unfilled values, then zero fill: one window for all changes."""
+    base = ratio_features(panel, fill=False)
+    changed = base.withColumns({name: change(of, strict_year) for name, of in CHANGE_OF})
     return zero_fill(changed, FEATURES)
 
 
 def accrual_inputs(features: DataFrame) -> DataFrame:
     """Regression inputs, scaled by the previous year's assets; each firm's first year is dropped."""
-    lagged = previous(F.col("Assets"))
-    inputs = features.withColumns({
-        "DV": ratio(
-            change(F.col("CurrentAssets")) - change(F.col("CurrentLiabilities")) - change(F.col("Cash"))
-            - F.col("DepreciationAmortization"),
-            lagged,
-        ),
-        "IV1": ratio(F.lit(1.0), lagged),
-        "IV2": ratio(change(F.col("Revenues")) - change(F.col("AccountsReceivable")), lagged),
-        "IV3": ratio(F.col("PropertyPlantAndEquipment"), lagged),
-        "IV4": F.col("ROA"),
-    })
-    return drop_first_year(inputs)
+    moved = {c: change_sql(c) for c in ("CurrentAssets", "CurrentLiabilities", "Cash", "Revenues", "AccountsReceivable")}
+    accrued = (
+        f"({moved['CurrentAssets']}) - ({moved['CurrentLiabilities']}) - ({moved['Cash']}) - DepreciationAmortization"
+    )
+    terms = {
+        "DV": accrued,
+        "IV1": "1",
+        "IV2": f"({moved['Revenues']}) - ({moved['AccountsReceivable']})",
+        "IV3": "PropertyPlantAndEquipment",
+    }
+    scaled = {n: F.expr(f"try_divide(double({t}), double({lagged('Assets')}))") for n, t in terms.items()}
+    return drop_first_year(features.withColumns({**scaled, "IV4": F.col("ROA")}))
 
 
 def ols_coefficients(df: DataFrame, y: str, xs: list[str]) -> list[float]:

@@ -96,33 +96,3 @@ def running_totals(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sums],
     )
-
-
-def exact_quantiles(
-    long: DataFrame, group: str, value: str, probs: list[float], group_bound: int | None = None
-) -> DataFrame:
-    """Linear-interpolated quantiles per group: (group, q: array in the order of `probs`).
-
-    Equal values are counted first. Nulls are ignored.
-    """
-    counts = long.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, [group], value, ["_n"], group_bound)
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
-    if group_bound is not None and group_bound <= MAX_BOUND_GROUPS:
-        totals = F.broadcast(totals)
-    place = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
-    first, last = F.col("before__n"), F.col("before__n") + F.col("_n") - 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col(value)))
-
-    picked = ranked.join(totals, group).groupBy(group).agg(
-        *[at(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(place)],
-        *[at(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(place)],
-        F.max("_total").alias("_total"),
-    )
-    blended = []
-    for i, p in enumerate(place):
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        blended.append(low + (high - low) * (p - F.floor(p)))
-    return picked.select(group, F.array(*blended).alias("q"))

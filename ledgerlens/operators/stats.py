@@ -6,10 +6,9 @@ narrow projection. Nothing is joined and no row is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordering import exact_quantiles
 from ledgerlens.session import cut_lineage
 
 # Winsorizing probabilities, MAD consistency factor and clipping constant.
@@ -17,6 +16,10 @@ WINSOR_PROBS = (0.0001, 0.9999)
 MAD_SCALE = 1.4826
 MAD_CLIP = 2.0
 
+# Rank error of the sketch is 1 / SKETCH; brackets reach twice as far.
+SKETCH = 10_000
+BRACKET = 2 / SKETCH
+
 
 def to_long(df: DataFrame, columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Wide -> (name, value) rows of doubles."""
@@ -31,45 +34,82 @@ def column_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def z_score(df: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sd with the moments of `fit` (default: `df` itself); a constant column becomes 0."""
-    fit = df if fit is None else fit
-    row = fit.agg(F.struct(*[
-        F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(c) for c in columns
-    ]).alias("_m"))
+    moments = (df if fit is None else fit).selectExpr(
+        _struct("struct(avg({c}) AS mean, stddev_samp({c}) AS sd)", columns, "_m")
+    )
+    scaled = "CASE WHEN coalesce(_m.{c}.sd, 0D) <> 0D THEN ({c} - _m.{c}.mean) / _m.{c}.sd WHEN {c} IS NOT NULL THEN 0D END"
+    bounded = df.withColumn("_m", moments.scalar())
+    return bounded.withColumns({c: F.expr(scaled.format(c=c)) for c in columns}).drop("_m")
 
-    def scaled(c: str) -> Column:
-        mean, sd = F.col(f"_m.{c}.mean"), F.col(f"_m.{c}.sd")
-        return F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.when(F.col(c).isNotNull(), 0.0)).otherwise(
-            (F.col(c) - mean) / sd
-        )
 
-    return df.withColumn("_m", row.scalar()).withColumns({c: scaled(c) for c in columns}).drop("_m")
+def quantile_row(df: DataFrame, columns: list[str], probs: list[float], method: str = "exact") -> DataFrame:
+    """One row: struct column -> array of linear-interpolated quantiles. Nulls are ignored.
 
+    `exact` never orders a whole column. An approximate sketch gives a narrow bracket around every quantile;
+    exact counts per bracket tell which ones hold the wanted ranks, and only their values are ordered. A poor
+    bracket would make that last step larger, never wrong. `approx` is the sketch alone.
+    """
+    values = df.selectExpr(*[f"double({c}) AS {c}" for c in columns])
+    if method == "approx":
+        return values.selectExpr(_struct(f"percentile_approx({{c}}, {_array(probs)}, 100000)", columns, "_q"))
+
+    edges = sorted({min(1.0, max(0.0, p + side * BRACKET)) for p in probs for side in (-1, 1)})
+    sketch = values.selectExpr(_struct(f"percentile_approx({{c}}, {_array(edges)}, {SKETCH})", columns, "_e"))
+    bracket = " + ".join(f"int({{c}} > _e.{{c}}[{i}])" for i in range(len(edges)))
+    long = (
+        values.withColumn("_e", sketch.scalar())
+        .selectExpr(*[f"struct({c} AS value, {bracket.format(c=c)} AS bracket) AS {c}" for c in columns])
+        .unpivot([], columns, "feature", "cell")
+        .select("feature", "cell.bracket", "cell.value")
+        .filter(F.col("value").isNotNull())
+    )
+    # A few brackets per column name: this window and the broadcast below are bounded by the schema.
+    brackets = long.groupBy("feature", "bracket").agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "feature", "bracket", "n",
+        "sum(n) OVER (PARTITION BY feature ORDER BY bracket) - n AS before",
+        "sum(n) OVER (PARTITION BY feature) AS total",
+    )
+    # R's default and the SQL standard's continuous quantile: interpolate between two neighbouring ranks.
+    places = [f"(total - 1) * {float(p)!r}D" for p in probs]
+    ranks = [f"{side}({place})" for place in places for side in ("floor", "ceil")]
+    needed = brackets.filter(" OR ".join(f"(before <= {r} AND {r} < before + n)" for r in ranks))
+    ties = (
+        long.join(F.broadcast(needed.drop("n")), ["feature", "bracket"])
+        .groupBy("feature", "bracket", "value", "before", "total")
+        .agg(F.count(F.lit(1)).alias("m"))
+    )
+    ordered = ties.selectExpr(
+        "feature", "value", "total", "m",
+        "before + sum(m) OVER (PARTITION BY feature, bracket ORDER BY value) - m AS first",
+    )
+    picked = ordered.groupBy("feature").agg(F.expr("max(total) AS total"), *[
+        F.expr(f"max(CASE WHEN first <= {r} AND {r} < first + m THEN value END) AS _r{i}") for i, r in enumerate(ranks)
+    ])
+    blended = [
+        f"_r{2 * i} + (_r{2 * i + 1} - _r{2 * i}) * ({place} - floor({place}))" for i, place in enumerate(places)
+    ]
+    quantiles = picked.selectExpr("feature", f"array({', '.join(blended)}) AS q")
+    return quantiles.selectExpr(_struct("max(CASE WHEN feature = '{c}' THEN q END)", columns, "_q"))
 
-def clip(value: Column, low: Column, high: Column) -> Column:
-    """Null stays null, unlike with bare greatest / least."""
-    return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
 
+def _array(numbers: list[float]) -> str:
+    return f"array({', '.join(f'{float(x)!r}D' for x in numbers)})"
 
-def _per_column(quantiles: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, q) rows -> one row with a struct of arrays, addressed by column name."""
-    return quantiles.agg(F.struct(*[
-        F.max(F.when(F.col("feature") == c, F.col("q"))).alias(c) for c in columns
-    ]).alias("_q"))
 
+def _struct(template: str, columns: list[str], name: str) -> str:
+    """A struct with one field per column. Wide plans are written as SQL text: one call, not one per operator."""
+    return f"struct({', '.join(f'{template.format(c=c)} AS {c}' for c in columns)}) AS {name}"
 
-def quantile_row(df: DataFrame, columns: list[str], probs: list[float], method: str = "exact") -> DataFrame:
-    """One row: struct column -> array of quantiles. `approx` trades exactness for one light aggregate."""
-    if method == "approx":
-        return df.agg(F.struct(*[F.percentile_approx(c, list(probs), 100_000).alias(c) for c in columns]).alias("_q"))
-    quantiles = exact_quantiles(to_long(df, columns), "feature", "value", list(probs), group_bound=len(columns))
-    return _per_column(quantiles, columns)
+
+# Null stays null, unlike with bare greatest / least.
+_CLIP = "CASE WHEN {c} IS NOT NULL THEN greatest({low}, least({high}, double({c}))) END"
 
 
 def clip_to_quantiles(df: DataFrame, columns: list[str], row: DataFrame) -> DataFrame:
     """Clip to the first and second quantile of a `quantile_row`."""
     bounded = df.withColumn("_q", row.scalar())
     return bounded.withColumns({
-        c: clip(F.col(c).cast("double"), F.col(f"_q.{c}")[0], F.col(f"_q.{c}")[1]) for c in columns
+        c: F.expr(_CLIP.format(c=c, low=f"_q.{c}[0]", high=f"_q.{c}[1]")) for c in columns
     }).drop("_q")
 
 
@@ -88,21 +128,21 @@ def mad_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: struct column -> (median, scaled median absolute deviation)."""
     medians = cut_lineage(quantile_row(df, columns, [0.5]))
     centred = df.select(*columns).withColumn("_q", medians.scalar())
-    deviations = centred.select(*[F.abs(F.col(c) - F.col(f"_q.{c}")[0]).alias(c) for c in columns])
+    deviations = centred.selectExpr(*[f"abs({c} - _q.{c}[0]) AS {c}" for c in columns])
     both = medians.withColumn("_d", quantile_row(deviations, columns, [0.5]).scalar())
-    return both.select(F.struct(*[
-        F.struct(F.col(f"_q.{c}")[0].alias("median"), (F.col(f"_d.{c}")[0] * MAD_SCALE).alias("mad")).alias(c)
-        for c in columns
-    ]).alias("_r"))
+    return both.selectExpr(
+        _struct(f"struct(_q.{{c}}[0] AS median, _d.{{c}}[0] * {MAD_SCALE}D AS mad)", columns, "_r")
+    )
 
 
 def clip_to_mad(df: DataFrame, columns: list[str], row: DataFrame, clip_at: float = MAD_CLIP) -> DataFrame:
     """Clip to median -/+ `clip_at` scaled MADs of a `mad_row`."""
-    def clipped(c: str) -> Column:
-        median, reach = F.col(f"_r.{c}.median"), F.col(f"_r.{c}.mad") * clip_at
-        return clip(F.col(c).cast("double"), median - reach, median + reach)
-
-    return df.withColumn("_r", row.scalar()).withColumns({c: clipped(c) for c in columns}).drop("_r")
+    reach = f"_r.{{c}}.mad * {float(clip_at)!r}D"
+    bounds = {"low": f"_r.{{c}}.median - {reach}", "high": f"_r.{{c}}.median + {reach}"}
+    bounded = df.withColumn("_r", row.scalar())
+    return bounded.withColumns({
+        c: F.expr(_CLIP.format(c=c, **{k: v.format(c=c) for k, v in bounds.items()})) for c in columns
+    }).drop("_r")
 
 
 def winsorize_mad(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP, fit: DataFrame | None = None) -> DataFrame:
