@@ -8,7 +8,7 @@ from ledgerlens.catalog import views as V
 from ledgerlens.catalog.analytics import FOLD_RATES_SQL, KEPT_SQL, cut_rates
 from ledgerlens.catalog.domain import ITEM_YEARS, features, last_facts
 from ledgerlens.catalog.registry import query, r6, stage
-from ledgerlens.catalog.relational import COMPLETE_SQL, complete
+from ledgerlens.catalog.relational import COMPLETE_SQL, complete, documents
 from ledgerlens.functions import expressions as E
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import models as ML
@@ -16,16 +16,15 @@ from ledgerlens.operators import resample as R
 from ledgerlens.operators import tuning as T
 from ledgerlens.operators.canonical import rank_candidates
 from ledgerlens.operators.dedup import annual_facts
-from ledgerlens.operators.features import column_filter
-from ledgerlens.operators.reshape import pivot_metrics, report_rows
+from ledgerlens.operators.features import FEATURES, column_filter
+from ledgerlens.operators.reshape import pivot_metrics
 from ledgerlens.plans.feature_table import LABEL, labelled_features
 from ledgerlens.plans.panel import facts_to_panel
 from ledgerlens.plans.scoring import (
-    append_to_history, complete_requests, normalise_with_history, report, request_features, score_batch, two_year_window,
+    append_to_history, normalise_with_history, report, score_batch, two_year_window,
 )
 from ledgerlens.plans.training import feature_names, scoring_models
 from ledgerlens.session import cut_lineage, scratch_path
-from ledgerlens.sources.company_facts import explode_facts, parse_documents
 from ledgerlens.sources.writers import load_model, load_tuning, save_model, save_tuning
 from ledgerlens.streaming.score_stream import latest_scores, start_scoring
 
@@ -95,7 +94,7 @@ _AUC = """round((SUM(rk) FILTER (truth = 1) - COUNT(*) FILTER (truth = 1) * (COU
 
 
 def _ranks(group: str) -> str:
-    return f"""SELECT *, rank() OVER ({group} ORDER BY score) + (COUNT(*) OVER ({group} {"," if False else ""} ORDER BY score RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 AS rk FROM scores"""
+    return f"""SELECT *, rank() OVER ({group} ORDER BY score) + (COUNT(*) OVER ({group} ORDER BY score RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 AS rk FROM scores"""
 
 
 @query("m7_roc_auc", V.sql(V.SCORES_SQL, select=f"SELECT {_AUC} FROM ({_ranks('')})"))
@@ -325,17 +324,11 @@ def saved_models(spark, sf_dir):
     if key not in _MODELS:
         past = history(spark, sf_dir)
         table = normalise_with_history(past, past, frozen=True)
-        labelled = table.select("symbol", "fy", KEY, LABEL, *feature_names_of(table))
+        labelled = table.select("symbol", "fy", KEY, LABEL, *FEATURES)
         _MODELS[key] = scoring_models(cut_lineage(labelled), LIGHT_PARAMS)
     return _MODELS[key]
 
 
-def feature_names_of(table):
-    from ledgerlens.operators.features import FEATURES
-
-    return [c for c in FEATURES if c in table.columns]
-
-
 @query("s4_score_batch")
 def s4(spark, sf_dir):
     scored = score_batch(
@@ -364,15 +357,10 @@ def s5(spark, sf_dir):
     return sentences
 
 
-def filing_facts(spark, sf_dir):
-    """Annual facts read back from company-facts documents."""
-    return annual_facts(explode_facts(parse_documents(V.documents(spark, sf_dir))))
-
-
 @query("s6_score_stream")
 def s6(spark, sf_dir):
     folder = scratch_path(spark, "stream")
-    V.documents(spark, sf_dir).write.json(f"{folder}/landing")
+    documents(spark, sf_dir).write.json(f"{folder}/landing")
     known, models, past = ranks(spark, sf_dir), saved_models(spark, sf_dir), history(spark, sf_dir)
 
     def score(facts, touched):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.catalog import views as V
-from ledgerlens.catalog.registry import query, r6
+from ledgerlens.catalog.registry import query, r6, stage
 from ledgerlens.functions import expressions as E
 from ledgerlens.operators.lookup import (
     layered_directory, manual_identifiers, resolve_identifiers, restrict_to_worklist, unresolved,
@@ -49,6 +49,8 @@ def complete(spark, sf_dir):
     return panel.withColumn("FY_symbol", E.firm_year_key())
 
 
+documents = stage("documents", V.documents)
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -71,7 +73,7 @@ def src2(spark, sf_dir):
     V.FACTS_SQL, select='SELECT symbol, ns, tag, fy, form, "end" AS end_date, CAST(val AS DOUBLE) AS val FROM facts'))
 def src3(spark, sf_dir):
     path = scratch_path(spark, "documents")
-    V.documents(spark, sf_dir).write.json(path)
+    documents(spark, sf_dir).write.json(path)
     facts = explode_facts(parse_documents(read_company_facts(spark, path)))
     return facts.select("symbol", "ns", "tag", "fy", "form", F.col("end").alias("end_date"), "val")
 
@@ -217,7 +219,7 @@ def p17(spark, sf_dir):
   CAST(row_number() OVER (PARTITION BY symbol, accn // {V.ORDERS_PER_PART}, ns, tag ORDER BY accn, line, item) - 1 AS INT) AS idx
   FROM facts"""))
 def n1(spark, sf_dir):
-    facts = explode_facts(parse_documents(V.documents(spark, sf_dir)))
+    facts = explode_facts(parse_documents(documents(spark, sf_dir)))
     return facts.select("symbol", "ns", "tag", "fy", "form", F.col("end").alias("end_date"), "val", "accn", "pos.part", "pos.idx")
 
 
@@ -230,8 +232,8 @@ def n2(spark, sf_dir):
 @query("n2_all_units", V.sql(V.FACTS_SQL, select="""SELECT symbol, ns, tag, u.unit, COUNT(*) AS n
   FROM facts, (VALUES ('USD'), ('pure')) u(unit) GROUP BY ALL"""))
 def n2_all(spark, sf_dir):
-    documents = V.documents(spark, sf_dir, units=("USD", "pure"))
-    facts = explode_facts(parse_documents(documents), units="all")
+    two_units = V.documents(spark, sf_dir, units=("USD", "pure"))
+    facts = explode_facts(parse_documents(two_units), units="all")
     return facts.groupBy("symbol", "ns", "tag", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -239,7 +241,7 @@ def n2_all(spark, sf_dir):
   CASE ns WHEN 'us-gaap' THEN 0 ELSE 1 END AS ns_order, CAST(NULL AS DATE) AS start_date, CAST(NULL AS VARCHAR) AS frame,
   CAST(val AS DOUBLE) AS val FROM facts"""))
 def n3(spark, sf_dir):
-    facts = explode_facts(parse_documents(V.documents(spark, sf_dir)))
+    facts = explode_facts(parse_documents(documents(spark, sf_dir)))
     return facts.select("symbol", "tag", "ns", "ns_order", F.col("start").alias("start_date"), "frame", "val")
 
 
