@@ -39,6 +39,7 @@ def start_scoring(
     checkpoint: str,
     score: Callable[[DataFrame, DataFrame], DataFrame],
     trigger: dict | None = None,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Start the job. `score(facts, requests)` is `score_batch` with its models and history bound."""
 
@@ -55,7 +56,8 @@ def start_scoring(
         scores = score(annual_facts(known), touched_firm_years(fresh))
         scores.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    writer = document_stream(spark, landing).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    documents = document_stream(spark, landing, files_per_batch)
+    writer = documents.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
