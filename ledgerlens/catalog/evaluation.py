@@ -18,6 +18,7 @@ from ledgerlens.operators.canonical import rank_candidates
 from ledgerlens.operators.dedup import annual_facts
 from ledgerlens.operators.features import FEATURES, column_filter
 from ledgerlens.operators.reshape import pivot_metrics
+from ledgerlens.operators.stats import apply_normalisation, fit_normalisation
 from ledgerlens.plans.feature_table import LABEL, labelled_features
 from ledgerlens.plans.panel import facts_to_panel
 from ledgerlens.plans.scoring import (
@@ -315,6 +316,7 @@ ranks = stage("ranks", lambda spark, sf_dir: rank_candidates(last_facts(spark, s
 history = stage("history", lambda spark, sf_dir: labelled_features(
     facts_to_panel(annual_facts(V.facts(spark, sf_dir)), years=V.YEARS, ranks=ranks(spark, sf_dir))
 ))
+fitted = stage("fitted", lambda spark, sf_dir: fit_normalisation(history(spark, sf_dir), FEATURES))
 _MODELS: dict[tuple, dict] = {}
 
 
@@ -323,7 +325,7 @@ def saved_models(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         past = history(spark, sf_dir)
-        table = normalise_with_history(past, past, frozen=True)
+        table = apply_normalisation(past, FEATURES, fitted(spark, sf_dir))
         labelled = table.select("symbol", "fy", KEY, LABEL, *FEATURES)
         _MODELS[key] = scoring_models(cut_lineage(labelled), LIGHT_PARAMS)
     return _MODELS[key]
@@ -362,9 +364,10 @@ def s6(spark, sf_dir):
     folder = scratch_path(spark, "stream")
     documents(spark, sf_dir).write.json(f"{folder}/landing")
     known, models, past = ranks(spark, sf_dir), saved_models(spark, sf_dir), history(spark, sf_dir)
+    stored = fitted(spark, sf_dir)
 
     def score(facts, touched):
-        return score_batch(facts, touched, known, past, models=models, frozen=True)
+        return score_batch(facts, touched, known, past, models=models, fitted=stored)
 
     start_scoring(
         spark, f"{folder}/landing", f"{folder}/store", f"{folder}/sink", f"{folder}/state", score

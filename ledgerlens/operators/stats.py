@@ -101,16 +101,30 @@ def _struct(template: str, columns: list[str], name: str) -> str:
     return f"struct({', '.join(f'{template.format(c=c)} AS {c}' for c in columns)}) AS {name}"
 
 
-# Null stays null, unlike with bare greatest / least.
-_CLIP = "CASE WHEN {c} IS NOT NULL THEN greatest({low}, least({high}, double({c}))) END"
+def quantile_bounds(
+    df: DataFrame, columns: list[str], probs: tuple[float, float] = WINSOR_PROBS, method: str = "exact"
+) -> DataFrame:
+    """One row: struct column -> (low, high) quantiles."""
+    row = quantile_row(df, columns, list(probs), method)
+    return row.selectExpr(_struct("struct(_q.{c}[0] AS low, _q.{c}[1] AS high)", columns, "_b"))
+
 
+def mad_bounds(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP) -> DataFrame:
+    """One row: struct column -> median -/+ `clip_at` scaled median absolute deviations."""
+    medians = cut_lineage(quantile_row(df, columns, [0.5]))
+    centred = df.select(*columns).withColumn("_q", medians.scalar())
+    deviations = centred.selectExpr(*[f"abs({c} - _q.{c}[0]) AS {c}" for c in columns])
+    reach = f"_d.{{c}}[0] * {MAD_SCALE}D * {float(clip_at)!r}D"
+    return medians.withColumn("_d", quantile_row(deviations, columns, [0.5]).scalar()).selectExpr(
+        _struct(f"struct(_q.{{c}}[0] - {reach} AS low, _q.{{c}}[0] + {reach} AS high)", columns, "_b")
+    )
 
-def clip_to_quantiles(df: DataFrame, columns: list[str], row: DataFrame) -> DataFrame:
-    """Clip to the first and second quantile of a `quantile_row`."""
-    bounded = df.withColumn("_q", row.scalar())
-    return bounded.withColumns({
-        c: F.expr(_CLIP.format(c=c, low=f"_q.{c}[0]", high=f"_q.{c}[1]")) for c in columns
-    }).drop("_q")
+
+def clip_to(df: DataFrame, columns: list[str], bounds: DataFrame) -> DataFrame:
+    """Clip every column to its bounds. Null stays null, unlike with bare greatest / least."""
+    clipped = "CASE WHEN {c} IS NOT NULL THEN greatest(_b.{c}.low, least(_b.{c}.high, double({c}))) END"
+    bounded = df.withColumn("_b", bounds.scalar())
+    return bounded.withColumns({c: F.expr(clipped.format(c=c)) for c in columns}).drop("_b")
 
 
 def winsorize_quantile(
@@ -121,33 +135,37 @@ def winsorize_quantile(
     method: str = "exact",
 ) -> DataFrame:
     """Clip every column to its quantiles at `probs`, taken from `fit` (default: `df` itself)."""
-    return clip_to_quantiles(df, columns, quantile_row(df if fit is None else fit, columns, list(probs), method))
+    return clip_to(df, columns, quantile_bounds(df if fit is None else fit, columns, probs, method))
 
 
-def mad_row(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: struct column -> (median, scaled median absolute deviation)."""
-    medians = cut_lineage(quantile_row(df, columns, [0.5]))
-    centred = df.select(*columns).withColumn("_q", medians.scalar())
-    deviations = centred.selectExpr(*[f"abs({c} - _q.{c}[0]) AS {c}" for c in columns])
-    both = medians.withColumn("_d", quantile_row(deviations, columns, [0.5]).scalar())
-    return both.selectExpr(
-        _struct(f"struct(_q.{{c}}[0] AS median, _d.{{c}}[0] * {MAD_SCALE}D AS mad)", columns, "_r")
-    )
+def winsorize_mad(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP, fit: DataFrame | None = None) -> DataFrame:
+    """Clip every column to median -/+ `clip_at` scaled MADs, taken from `fit` (default: `df` itself)."""
+    return clip_to(df, columns, mad_bounds(df if fit is None else fit, columns, clip_at))
 
 
-def clip_to_mad(df: DataFrame, columns: list[str], row: DataFrame, clip_at: float = MAD_CLIP) -> DataFrame:
-    """Clip to median -/+ `clip_at` scaled MADs of a `mad_row`."""
-    reach = f"_r.{{c}}.mad * {float(clip_at)!r}D"
-    bounds = {"low": f"_r.{{c}}.median - {reach}", "high": f"_r.{{c}}.median + {reach}"}
-    bounded = df.withColumn("_r", row.scalar())
-    return bounded.withColumns({
-        c: F.expr(_CLIP.format(c=c, **{k: v.format(c=c) for k, v in bounds.items()})) for c in columns
-    }).drop("_r")
+def fit_normalisation(
+    df: DataFrame, columns: list[str], winsor: str = "quantile", method: str = "exact"
+) -> DataFrame:
+    """One stored row, struct column -> (low, high, mean, sd): winsorizing bounds, moments of the clipped values.
+
+    It can be written next to saved models and applied to later rows without touching the history again.
+    """
+    bounds = cut_lineage(mad_bounds(df, columns) if winsor == "mad" else quantile_bounds(df, columns, method=method))
+    moments = clip_to(df.select(*columns), columns, bounds).selectExpr(
+        _struct("struct(avg({c}) AS mean, stddev_samp({c}) AS sd)", columns, "_m")
+    )
+    both = "struct(_b.{c}.low AS low, _b.{c}.high AS high, _m.{c}.mean AS mean, _m.{c}.sd AS sd)"
+    return cut_lineage(bounds.withColumn("_m", moments.scalar()).selectExpr(_struct(both, columns, "_n")))
 
 
-def winsorize_mad(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP, fit: DataFrame | None = None) -> DataFrame:
-    """Clip every column to median -/+ `clip_at` scaled MADs, taken from `fit` (default: `df` itself)."""
-    return clip_to_mad(df, columns, mad_row(df if fit is None else fit, columns), clip_at)
+def apply_normalisation(df: DataFrame, columns: list[str], fitted: DataFrame) -> DataFrame:
+    """Winsorize and z-score with a `fit_normalisation` row; a constant column becomes 0."""
+    scaled = (
+        "CASE WHEN {c} IS NULL THEN NULL WHEN coalesce(_n.{c}.sd, 0D) = 0D THEN 0D "
+        "ELSE (greatest(_n.{c}.low, least(_n.{c}.high, double({c}))) - _n.{c}.mean) / _n.{c}.sd END"
+    )
+    bounded = df.withColumn("_n", fitted.scalar())
+    return bounded.withColumns({c: F.expr(scaled.format(c=c)) for c in columns}).drop("_n")
 
 
 def histogram(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.operators.features import (
     ACCRUAL_TERMS, FEATURES, accrual_inputs, band_label, change_features, ols_residuals,
 )
-from ledgerlens.operators.stats import (
-    WINSOR_PROBS, clip_to_mad, clip_to_quantiles, mad_row, quantile_row, z_score,
-)
+from ledgerlens.operators.stats import apply_normalisation, fit_normalisation
 from ledgerlens.session import cut_lineage
 
 KEYS = ["symbol", "fy", "FY_symbol"]
@@ -31,13 +29,7 @@ def normalise(
     method: str = "exact",
 ) -> DataFrame:
     """Winsorize, then z-score. `fit` restricts what both are fitted on (default: all rows of `df`)."""
-    fit = df if fit is None else fit
-    if winsor == "mad":
-        bounds, clip_to = cut_lineage(mad_row(fit, columns)), clip_to_mad
-    else:
-        bounds, clip_to = cut_lineage(quantile_row(fit, columns, list(WINSOR_PROBS), method)), clip_to_quantiles
-    clipped = clip_to(df, columns, bounds)
-    return z_score(clipped, columns, fit=clipped if fit is df else clip_to(fit, columns, bounds))
+    return apply_normalisation(df, columns, fit_normalisation(df if fit is None else fit, columns, winsor, method))
 
 
 def feature_table(panel: DataFrame, winsor: str = "quantile", method: str = "exact") -> DataFrame:

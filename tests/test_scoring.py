@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.canonical import rank_candidates
 from ledgerlens.operators.dedup import annual_facts, keep_last
 from ledgerlens.operators.features import FEATURES
+from ledgerlens.operators.stats import apply_normalisation, fit_normalisation
 from ledgerlens.plans import scoring
 from ledgerlens.plans.feature_table import LABEL, feature_table, labelled_features
 from ledgerlens.plans.panel import facts_to_panel
@@ -44,9 +45,10 @@ def world(spark):
     facts = annual_facts(explode_facts(parse_documents(past)))
     ranks = rank_candidates(keep_last(facts)).cache()
     history = labelled_features(facts_to_panel(facts, ranks=ranks)).cache()
-    table = normalise_with_history(history, history, frozen=True)
+    fitted = fit_normalisation(history, FEATURES)
+    table = apply_normalisation(history, FEATURES, fitted)
     models = scoring_models(table.select("symbol", "fy", "FY_symbol", *FEATURES, LABEL).cache(), SMALL)
-    return ranks, history, models
+    return ranks, history, models, fitted
 
 
 NEW = [
@@ -59,7 +61,7 @@ NEW = [
 
 
 def test_batch(spark, world):
-    ranks, history, models = world
+    ranks, history, models, fitted = world
     facts = annual_facts(explode_facts(parse_documents(spark.createDataFrame(NEW[:3], DOCUMENT))))
     requests = spark.createDataFrame([("A", 2020), ("A", 2019), ("B", 2020), ("C", 2020), ("ZZ", 2020)], "symbol string, fy int")
     panel_rows = request_features(facts, requests, ranks)
@@ -77,10 +79,10 @@ def test_batch(spark, world):
 
 def test_refit(spark, world, monkeypatch):
     """Without saved models the training rows of the requested firm-years are left out of the fit."""
-    ranks, history, models = world
+    ranks, history, models, fitted = world
     past = annual_facts(explode_facts(parse_documents(spark.createDataFrame([document("H1", 0, YEARS)], DOCUMENT))))
     requests = spark.createDataFrame([("H1", 2019)], "symbol string, fy int")
-    table = normalise_with_history(history, history, frozen=True).select("symbol", "fy", "FY_symbol", *FEATURES, LABEL)
+    table = apply_normalisation(history, FEATURES, fitted).select("symbol", "fy", "FY_symbol", *FEATURES, LABEL)
     seen = []
     monkeypatch.setattr(scoring, "scoring_models", lambda rows: seen.append(rows) or models)
     assert score_batch(past, requests, ranks, history, training=table).count() == 1
@@ -99,8 +101,11 @@ def test_frozen_statistics_do_not_depend_on_the_batch(spark):
     one = spark.createDataFrame([("n1", 3.0)], "FY_symbol string, x double")
     two = spark.createDataFrame([("n1", 3.0), ("n2", 500.0)], "FY_symbol string, x double")
 
+    stored = fit_normalisation(history, ["x"])
+
     def value(new, frozen):
-        return normalise_with_history(history, new, ["x"], frozen=frozen).filter("FY_symbol = 'n1'").first().x
+        fitted = stored if frozen else None
+        return normalise_with_history(history, new, ["x"], fitted=fitted).filter("FY_symbol = 'n1'").first().x
 
     assert value(one, True) == value(two, True)
     assert value(one, False) != value(two, False)
@@ -115,7 +120,7 @@ def test_incomplete_requests_are_flagged(spark):
 
 
 def test_feature_table_shape(world, spark):
-    _, history, _ = world
+    _, history, _, _ = world
     rows = spark.createDataFrame([document(f"F{i}", 0, YEARS) for i in range(15)], DOCUMENT)
     table = feature_table(facts_to_panel(annual_facts(explode_facts(parse_documents(rows)))), winsor="mad")
     assert len(table.columns) == 40 and table.count() == 45
@@ -124,10 +129,10 @@ def test_feature_table_shape(world, spark):
 
 def test_stream_equals_batch(spark, world, tmp_path):
     """Five files, one per micro-batch: new years, an incomplete firm, a restatement and a broken document."""
-    ranks, history, models = world
+    ranks, history, models, fitted = world
 
     def score(facts, requests):
-        return score_batch(facts, requests, ranks, history, models=models, frozen=True)
+        return score_batch(facts, requests, ranks, history, models=models, fitted=fitted)
 
     landing = tmp_path / "landing"
     landing.mkdir()
