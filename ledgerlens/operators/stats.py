@@ -49,20 +49,15 @@ def quantile_row(df: DataFrame, columns: list[str], probs: list[float], method:
     exact counts per bracket tell which ones hold the wanted ranks, and only their values are ordered. A poor
     bracket would make that last step larger, never wrong. `approx` is the sketch alone.
     """
-    values = df.selectExpr(*[f"double({c}) AS {c}" for c in columns])
     if method == "approx":
-        return values.selectExpr(_struct(f"percentile_approx({{c}}, {_array(probs)}, 100000)", columns, "_q"))
+        return df.selectExpr(_struct(f"percentile_approx(double({{c}}), {_array(probs)}, 100000)", columns, "_q"))
 
     edges = sorted({min(1.0, max(0.0, p + side * BRACKET)) for p in probs for side in (-1, 1)})
-    sketch = values.selectExpr(_struct(f"percentile_approx({{c}}, {_array(edges)}, {SKETCH})", columns, "_e"))
-    bracket = " + ".join(f"int({{c}} > _e.{{c}}[{i}])" for i in range(len(edges)))
-    long = (
-        values.withColumn("_e", sketch.scalar())
-        .selectExpr(*[f"struct({c} AS value, {bracket.format(c=c)} AS bracket) AS {c}" for c in columns])
-        .unpivot([], columns, "feature", "cell")
-        .select("feature", "cell.bracket", "cell.value")
-        .filter(F.col("value").isNotNull())
-    )
+    values = to_long(df, columns).filter(F.col("value").isNotNull())
+    # One row per column name: the bound of this broadcast is known.
+    sketch = values.groupBy("feature").agg(F.percentile_approx("value", edges, SKETCH).alias("e"))
+    bracket = " + ".join(f"int(value > e[{i}])" for i in range(len(edges)))
+    long = values.join(F.broadcast(sketch), "feature").selectExpr("feature", "value", f"{bracket} AS bracket")
     # A few brackets per column name: this window and the broadcast below are bounded by the schema.
     brackets = long.groupBy("feature", "bracket").agg(F.count(F.lit(1)).alias("n")).selectExpr(
         "feature", "bracket", "n",
