@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import running_totals
+from ledgerlens.session import cut_lineage
 
 METRICS = ("accuracy", "sensitivity", "specificity", "roc_auc")
 
@@ -36,12 +37,12 @@ def roc_auc(
 ) -> DataFrame:
     """(groups, roc_auc): share of (event, other) pairs that the score orders rightly, ties count half.
 
-    Rows are reduced to distinct scores first; the number of others below each score is an exact running
+    Rows are reduced to distinct scores first, which are stored since they are read three times; the number of others below each score is an exact running
     total over ordered buckets, so no group is sorted in one task and no pair is formed.
     """
-    by_score = scored.groupBy(*groups, score).agg(
+    by_score = cut_lineage(scored.groupBy(*groups, score).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
-    )
+    ))
     ranked = running_totals(by_score, groups, score, ["neg"], group_bound)
     won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return ranked.groupBy(*groups).agg(

@@ -57,7 +57,7 @@ def quantile_row(df: DataFrame, columns: list[str], probs: list[float], method:
     # One row per column name: the bound of this broadcast is known.
     sketch = values.groupBy("feature").agg(F.percentile_approx("value", edges, SKETCH).alias("e"))
     bracket = " + ".join(f"int(value > e[{i}])" for i in range(len(edges)))
-    long = values.join(F.broadcast(sketch), "feature").selectExpr("feature", "value", f"{bracket} AS bracket")
+    long = values.join(F.broadcast(sketch), "feature").selectExpr("feature", "value", f"coalesce({bracket}, 0) AS bracket")
     # A few brackets per column name: this window and the broadcast below are bounded by the schema.
     brackets = long.groupBy("feature", "bracket").agg(F.count(F.lit(1)).alias("n")).selectExpr(
         "feature", "bracket", "n",
