@@ -29,20 +29,35 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can reach: the cluster's checkpoint folder.
+    """Folder that all executors can reach: the one named by `spark.checkpoint.dir`.
 
-    Only where no folder is configured (tests on one machine) a temporary one is made and recorded.
+    Only a session on one machine (`local[...]`) may go without; it then gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The one folder below the shared one that holds everything this application stores."""
+    return f"{shared_dir(spark).rstrip('/')}/ledgerlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; never reused between runs."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run's folder; never reused between runs."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when its results have been written."""
+    jvm, context = spark._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
