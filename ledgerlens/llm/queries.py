@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import binary_output, packing
+from ledgerlens.llm import binary_output, exact_dedup, packing, sharding
 from ledgerlens.llm.tokens import public_path
 from ledgerlens.session import scratch_path
 
@@ -43,3 +43,33 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = binary_output.write_sequences(table(spark, sf_dir, "documents"), folder, public_path("byte_bpe_50k.json"))
     found = binary_output.read_documents(spark, folder, files)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_extendible_sharding", """
+    WITH d AS (
+        SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+               ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT // 2 AS bits
+        FROM documents
+    ), levels AS (
+        SELECT doc_id, bytes, depth, bits >> (31 - depth) AS prefix
+        FROM d, (SELECT unnest(range(32)) AS depth)
+    ), sums AS (
+        SELECT *, sum(bytes) OVER b AS shard_bytes, count(*) OVER b AS shard_docs
+        FROM levels WINDOW b AS (PARTITION BY depth, prefix)
+    )
+    SELECT doc_id, bytes, depth::INT AS depth,
+           CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
+           shard_bytes::BIGINT AS shard_bytes, shard_docs
+    FROM sums WHERE shard_bytes <= 16777216 QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+""")
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op4_exact_dedup", """
+    WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS content FROM documents),
+    g AS (SELECT content, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY content)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM d JOIN g USING (content)
+""")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
