@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import binary_output, exact_dedup, packing, sharding
+from ledgerlens.llm import binary_output, exact_dedup, minhash, packing, sharding
 from ledgerlens.llm.tokens import public_path
 from ledgerlens.session import scratch_path
 
@@ -73,3 +73,8 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+@query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
