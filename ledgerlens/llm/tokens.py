@@ -9,21 +9,25 @@ import numpy as np
 
 # White_Space of the Unicode standard (fixed values): what \s means in both tokenizers' patterns.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Between Latin letters and ASCII punctuation (but the apostrophe, which starts contractions) both patterns always cut.
+_LETTERS, _MARKS = r"A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_SURE = f"[{_LETTERS}]+(?=[{_WS}{_MARKS}]|$)|[{_MARKS}]+(?=[{_WS}{_LETTERS}]|$)"
 # Byte-level pattern: a piece takes one space before it; a longer run keeps all but its last character apart.
-_KEEPS_SPACE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_KEEPS_SPACE = re.compile(f" ?(?:{_SURE}|[^{_WS}]+)|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # Word-level pattern: white space is dropped.
-_DROPS_SPACE = re.compile(f"[^{_WS}]+")
+_DROPS_SPACE = re.compile(f"{_SURE}|[^{_WS}]+")
 
 
 class Codec:
     """Exactly the ids of `tokenizer.encode(text, add_special_tokens=False)`, as little-endian unsigned 32-bit bytes.
 
-    No token of these vocabularies spans white space (other than one leading space), so a text may be cut there.
-    Pieces are remembered up to `max_pieces`, then forgotten together: memory stays bounded, ids do not change.
+    No token of these vocabularies spans white space (other than one leading space), or a letter and punctuation, so a
+    text may be cut there.
+    The last `max_pieces` to twice as many pieces are remembered, those in use the longest: rare words are what costs.
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -32,7 +36,7 @@ class Codec:
         normalised = self.tokenizer.normalizer is not None
         self.pattern = _DROPS_SPACE if normalised else _KEEPS_SPACE
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.max_pieces, self.known = max_pieces, {}
+        self.max_pieces, self.known, self.older = max_pieces, {}, {}
 
     def encode(self, text: str) -> bytes:
         pieces, known = self.pattern.findall(text), self.known
@@ -41,8 +45,15 @@ class Codec:
         except KeyError:
             pass
         if len(known) > self.max_pieces:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
+            self.older, self.known = known, {}
+            known = self.known
+        new, older = [], self.older
+        for piece in dict.fromkeys(pieces):
+            if piece not in known:
+                if piece in older:
+                    known[piece] = older[piece]
+                else:
+                    new.append(piece)
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[piece] = np.array(found.ids, "<u4").tobytes()
         return b"".join([known[p] for p in pieces])
