@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_column, text_or_empty
+from ledgerlens.llm.common import chunks, text_column, text_or_empty
 from ledgerlens.llm.tokens import codec
 
 #: Sequences of one record batch; all batches but a file's last have as many, so sequence k is in batch k // BATCH.
@@ -24,7 +24,7 @@ _MANIFEST = "part int, file string, n_docs long, n_tokens long, n_sequences long
 
 def sequence_schema(length: int, vocabulary: int) -> pa.Schema:
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Sequences:
@@ -48,7 +48,7 @@ class _Sequences:
     def _flush(self) -> None:
         rows = -(-self.used // self.length)
         size = rows * self.length
-        mask = (np.arange(size) < self.used).astype(np.uint8)
+        mask = np.arange(size) < self.used
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.ids[:size].copy(), mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.rows += rows
@@ -96,16 +96,15 @@ def write_sequences(
                 sinks = [system.open_output_stream(x) for x in drafts]
                 target = _Sequences(sinks[0], sequence_schema(length, tokens.size), length)
                 index = pa.ipc.new_stream(sinks[1], _DOCS)
-            ids_of = batch.column(0).to_pylist()
-            counts = np.zeros(len(ids_of), np.int64)
-            for i, text in enumerate(text_column(batch)):
-                found = np.frombuffer(tokens.encode(text.as_py()) + end, "<u4")
-                counts[i] = len(found)
-                target.add(found)
-            places = n_tokens + np.concatenate(([0], np.cumsum(counts)[:-1]))
-            index.write_batch(pa.RecordBatch.from_arrays([pa.array(ids_of, pa.int64()), pa.array(places), pa.array(counts)], schema=_DOCS))
-            n_docs += len(ids_of)
-            n_tokens += int(counts.sum())
+            column = text_column(batch)
+            for first, last in chunks(column):
+                encoded = [np.frombuffer(x + end, "<u4") for x in tokens.encode_many(column[first:last].to_pylist())]
+                target.add(np.concatenate(encoded))
+                counts = np.array([len(x) for x in encoded], np.int64)
+                places = n_tokens + np.concatenate(([0], np.cumsum(counts)[:-1]))
+                index.write_batch(pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(places), pa.array(counts)], schema=_DOCS))
+                n_docs += len(encoded)
+                n_tokens += int(counts.sum())
         if target is not None:
             target.close()
             index.close()
@@ -133,12 +132,12 @@ class SequenceFile:
         self.batches = list(reader) if isinstance(system, fs.LocalFileSystem) else None
         self.reader = reader
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k."""
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (bits) of sequence k, views of the mapped file."""
         batch, row = self.batches[k // BATCH], k % BATCH
         length = batch.schema.field("ids").type.list_size
         at = slice(row * length, (row + 1) * length)
-        return tuple(batch.column(i).values.to_numpy(zero_copy_only=True)[at] for i in (0, 1))
+        return batch.column(0).values[at].to_numpy(zero_copy_only=True), batch.column(1).values[at]
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: list[tuple]) -> DataFrame:
@@ -183,8 +182,8 @@ class _tokens:
         while n:
             if not len(self.left):
                 batch = self.reader.read_next_batch()
-                ids, mask = (batch.column(i).values.to_numpy(zero_copy_only=True) for i in (0, 1))
-                self.left = ids[mask.view(bool)].astype("<u4")
+                ids = batch.column(0).values.to_numpy(zero_copy_only=True)
+                self.left = ids[batch.column(1).values.to_numpy(zero_copy_only=False)].astype("<u4")
             got.append(self.left[:n].tobytes())
             n -= len(self.left[:n])
             self.left = self.left[len(got[-1]) // 4:]

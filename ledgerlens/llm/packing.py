@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_column, text_or_empty
+from ledgerlens.llm.common import chunks, text_column, text_or_empty
 from ledgerlens.llm.tokens import codec
 
 _OUT = pa.schema([
@@ -80,7 +80,9 @@ def pack(
         tokens, end, ids, encoded = codec(tokenizer), np.array([end_id], "<u4").tobytes(), [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            encoded += [tokens.encode(x.as_py()) + end for x in text_column(batch)]
+            column = text_column(batch)
+            for first, last in chunks(column):
+                encoded += [x + end for x in tokens.encode_many(column[first:last].to_pylist())]
         lengths = [len(x) // 4 for x in encoded]
         base = key[0].as_py() << 32
         pieces = assign(lengths, capacity, linear, quadratic)

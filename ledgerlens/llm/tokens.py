@@ -18,45 +18,61 @@ _KEEPS_SPACE = re.compile(f" ?(?:{_SURE}|[^{_WS}]+)|[{_WS}]+(?![^{_WS}])|[{_WS}]
 _DROPS_SPACE = re.compile(f"{_SURE}|[^{_WS}]+")
 
 
+# A space next to other white space: such a text is cut by the pattern, any other at its spaces.
+_ODD = tuple(x for w in map(chr, range(0x3001)) if re.match(f"[{_WS}]", w) for x in (w + " ", " " + w))
+
+
 class Codec:
     """Exactly the ids of `tokenizer.encode(text, add_special_tokens=False)`, as little-endian unsigned 32-bit bytes.
 
     No token of these vocabularies spans white space (other than one leading space), or a letter and punctuation, so a
-    text may be cut there.
-    The last `max_pieces` to twice as many pieces are remembered, those in use the longest: rare words are what costs.
-    Strings of special tokens inside a text are ordinary text.
+    text may be cut there. Words are remembered, and so are their pieces, the rare ones being what costs; the oldest are
+    forgotten beyond `max_known`, so memory is bounded. Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_known: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        normalised = self.tokenizer.normalizer is not None
-        self.pattern = _DROPS_SPACE if normalised else _KEEPS_SPACE
+        self.keeps_space = self.tokenizer.normalizer is None
+        self.pattern = _KEEPS_SPACE if self.keeps_space else _DROPS_SPACE
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.max_pieces, self.known, self.older = max_pieces, {}, {}
-
-    def encode(self, text: str) -> bytes:
-        pieces, known = self.pattern.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.max_pieces:
-            self.older, self.known = known, {}
-            known = self.known
-        new, older = [], self.older
-        for piece in dict.fromkeys(pieces):
-            if piece not in known:
-                if piece in older:
-                    known[piece] = older[piece]
-                else:
-                    new.append(piece)
+        self.max_known, self.words, self.pieces, self.older = max_known, {}, {}, {}
+
+    def _cut(self, text: str) -> list[str]:
+        """Words; one that does not follow a single space is marked by a line end before it."""
+        if not self.keeps_space:
+            return text.split(" ")
+        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD):
+            return ["\n" + x for x in self.pattern.findall(text)]
+        words = text.split(" ")
+        words[0] = "\n" + words[0]
+        return words
+
+    def _pieces_of(self, word: str) -> list[str]:
+        if not self.keeps_space:
+            return self.pattern.findall(word)
+        return self.pattern.findall(word[1:] if word[:1] == "\n" else " " + word)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(x) for x in texts]
+        if len(self.words) > self.max_known:
+            self.words = {}
+        if len(self.pieces) > self.max_known:
+            self.older, self.pieces = self.pieces, {}
+        words, pieces = self.words, self.pieces
+        of = {w: self._pieces_of(w) for w in set().union(*cut).difference(words)}
+        new = set().union(*of.values()).difference(pieces)
+        for piece in [x for x in new if x in self.older]:
+            pieces[piece] = self.older[piece]
+        new = list(new.difference(pieces))
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+            pieces[piece] = np.array(found.ids, "<u4").tobytes()
+        for word, parts in of.items():
+            words[word] = b"".join([pieces[x] for x in parts])
+        return [b"".join(map(words.__getitem__, x)) for x in cut]
 
 
 @lru_cache(maxsize=2)
