@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import binary_output, exact_dedup, minhash, packing, sharding, substring_dedup
+from ledgerlens.llm import (
+    binary_output,
+    decontamination,
+    exact_dedup,
+    minhash,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+)
 from ledgerlens.llm.tokens import public_path
 from ledgerlens.session import scratch_path
 
@@ -84,3 +93,21 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    marked = decontamination.with_leaks(docs.select("doc_id", "text"), benchmark)
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", "leak.item_words", "leak.matched_words", "leak.coverage", F.size("leak.tiles").alias("n_tiles"),
+    )
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.with_score(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
