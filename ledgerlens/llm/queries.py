@@ -11,6 +11,7 @@ from ledgerlens.llm import (
     binary_output,
     decontamination,
     exact_dedup,
+    lm_scoring,
     minhash,
     packing,
     quality,
@@ -111,3 +112,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
