@@ -100,7 +100,9 @@ def _remaining(found: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_removed, and kept (the words left, one space between).
+    """One row per row of `docs`: doc_id, n_words, n_removed, kept (the words left, one space between) and kept_sha256.
+
+    A caller that needs no more than kept_sha256 moves no unchanged text in the last join.
 
     A word goes if one of the windows of `window` words of its text that cover it also starts anywhere else, in the
     same text or another. All windows are judged on the input.
@@ -143,7 +145,9 @@ def _assembled(base: DataFrame, copies: DataFrame, left: DataFrame) -> DataFrame
     """A changed text has what is left of it, a copy nothing, any other text all its words."""
     marked = base.join(copies.select("row_id", F.lit(True).alias("copied")), "row_id", "left").join(left, "row_id", "left")
     copied = F.coalesce("copied", F.lit(False))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return marked.select(
         "doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit("")).otherwise(F.coalesce("kept", "words")).alias("kept"),
+        F.when(copied, sha(F.lit(""))).otherwise(F.coalesce(sha(F.col("kept")), "digest")).alias("kept_sha256"),
     )
