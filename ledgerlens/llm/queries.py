@@ -11,6 +11,7 @@ from ledgerlens.llm import (
     binary_output,
     decontamination,
     exact_dedup,
+    line_dedup,
     lm_scoring,
     minhash,
     packing,
@@ -118,3 +119,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents")).drop("line")
