@@ -42,54 +42,80 @@ def connected(links: DataFrame) -> DataFrame:
     return stored(found, "components")
 
 
+def pairs_across(left: DataFrame, fits: str = "true") -> DataFrame:
+    """(a, b) of nodes that share a key, lie in different components and meet `fits` (columns, and other_ columns)."""
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in left.columns if c != "key"))
+    return left.join(right, "key").where(f"node < other_node AND component <> other_component AND {fits}").select(
+        F.col("node").alias("a"), F.col("other_node").alias("b"),
+    )
+
+
+def _named(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return stored(postings.withColumn("component", F.col("node")), "postings")
+    named = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return stored(named, "postings")
+
+
+def _heads(named: DataFrame, turn: int) -> DataFrame:
+    """One node of each list that lies in several components: in the first turn the one of greatest weight."""
+    chance = F.xxhash64(F.lit(turn), "node")
+    order = chance if turn else F.struct("weight", chance)
+    found = named.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("node", "component"), order).alias("head"),
+    )
+    return stored(
+        found.where("low <> high").select("key", F.col("head.node").alias("head"), F.col("head.component").alias("head_component")), "heads",
+    )
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links between nodes."""
+    if labels is None:
+        return connected(links)
+    sides = [labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    between = links.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"),
+    )
+    moves = connected(between).select(F.col("node").alias("component"), F.col("component").alias("later"))
+    moved = labels.join(moves, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
+    fresh = moves.join(labels.select(F.col("node").alias("component")), "component", "left_anti")
+    return stored(moved.unionByName(fresh.select(F.col("component").alias("node"), F.col("later").alias("component"))), "labels")
+
+
 def link_within(
-    postings: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 3,
+    postings: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 3, finer: Callable[[DataFrame], DataFrame] | None = None,
+    fits: str = "true",
 ) -> DataFrame:
-    """Components of the nodes of (key, node) under `test`, which keeps those (a, b) pairs, a < b, that are linked.
+    """Components of the nodes of (key, node, weight) under `test`, which keeps those (a, b) pairs, a < b, that are linked.
 
-    Two nodes that share a key are tested or already in one component, so the components are those that testing all
-    pairs of every list would give. First `rounds` times one node of each list, drawn anew, is tested with the
-    list's nodes of other components: as many pairs as postings. What then still lies in several components is tested
-    pair by pair across components; a list of copies has become one component before that.
+    Two nodes that share a key are tested, in one component, or known not to be linked, so the components are those that
+    testing all pairs of every list would give. First `rounds` times one node of each list is tested with the list's
+    nodes of other components, as many pairs as postings: the one of greatest weight, then some drawn anew. What still
+    lies in several components, (key, node, component), may be given to `finer`, which returns other lists that hold
+    both ends of every link left between components; they are treated in the same way. Last, pairs of a list that are
+    still in different components are tested, if they meet `fits`, which every linked pair meets in some list of both.
     """
     labels = None
-    for turn in range(rounds + 1):
-        named = postings.select("key", "node", F.col("node").alias("component")) if labels is None else (
-            postings.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        )
-        named = stored(named, "postings")
-        heads = stored(
-            named.groupBy("key").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"),
-                F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("head"),
-                F.min_by("component", F.xxhash64(F.lit(turn), "node")).alias("head_component"),
-            ).where("low <> high").select("key", "head", "head_component"),
-            "heads",
-        )
-        if heads.isEmpty():
-            break
-        if turn < rounds:
+    for lists in (postings, finer):
+        if lists is None:
+            continue
+        if lists is finer:
+            if heads.isEmpty():  # noqa: F821
+                break
+            postings = finer(named.join(heads.select("key"), "key", "left_semi"))  # noqa: F821
+        for turn in range(rounds + 1):
+            named = _named(postings, labels)
+            heads = _heads(named, turn)
+            if turn == rounds or heads.isEmpty():
+                break
             pairs = named.join(heads, "key").where("component <> head_component").select(
                 F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"),
             )
-        else:
-            left = named.join(heads.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            pairs = left.join(right, "key").where("node < other AND component <> other_component").select(
-                F.col("node").alias("a"), F.col("other").alias("b"),
-            )
-        links = stored(test(pairs.distinct()), "tested")
-        if labels is not None:
-            sides = [labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
-            between = links.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
-                F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"),
-            )
-            merged = connected(between).select(F.col("node").alias("component"), F.col("component").alias("later"))
-            moved = labels.join(merged, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
-            fresh = merged.join(labels.select(F.col("node").alias("component")), "component", "left_anti")
-            labels = stored(moved.unionByName(fresh.select(F.col("component").alias("node"), F.col("later").alias("component"))), "labels")
-        else:
-            labels = connected(links)
+            labels = _merged(labels, stored(test(pairs.distinct()), "tested"))
+    if not heads.isEmpty():
+        pairs = pairs_across(named.join(heads.select("key"), "key", "left_semi"), fits)
+        labels = _merged(labels, stored(test(pairs.distinct()), "tested"))
     if labels is None:
         labels = postings.select("node", F.col("node").alias("component")).limit(0)
     return labels

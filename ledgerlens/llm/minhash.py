@@ -114,6 +114,47 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     return both.mapInArrow(confirm, "a long, b long")
 
 
+def prefix_postings(left: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Lists of nodes by their rarest shingles, which hold all similar pairs of different components of `left`.
+
+    A node needs `percent` of its shingles in common with a partner. Of its shingles that occur in several components it
+    is posted under the rarest only, as many as make sure that two partners meet under one; a node that has too few of
+    them is skipped. Edited copies of one text, which share many coordinates but are not similar, go that way.
+    """
+    open_nodes = stored(left.select("node", "component").distinct(), "open-nodes")
+    parts = texts.join(open_nodes, "node").select("node", "component", F.col("words").cast("string").alias("words"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = text_column(batch, "words")
+            for first, last in chunks(column):
+                owners, hashes = shingle_hashes(Words(column, first, last), width)
+                at = pa.array(owners + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes.view(np.int64))], ["node", "component", "key"])
+
+    shingles = parts.mapInArrow(split, "node long, component long, key long")
+    spread = stored(
+        shingles.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+        .where("low <> high").select("key", "n"),
+        "spread-shingles",
+    )
+    by_node = Window.partitionBy("node")
+    found = shingles.join(spread, "key").join(nodes.select("node", "n_shingles"), "node").withColumns({
+        "place": F.row_number().over(by_node.orderBy("n", "key")), "of": F.count(F.lit(1)).over(by_node),
+    })
+    need = f"(n_shingles * {percent} + 99) div 100"
+    return stored(
+        found.where(f"place <= of - {need} + 1").select("key", "node", F.col("of").alias("weight"), "n_shingles", (F.col("of") - F.col("place")).alias("room")),
+        "prefix-postings",
+    )
+
+
+def _enough_room(percent: int) -> str:
+    """At the first shingle that two similar sets share, both have enough later ones for what they must share."""
+    need = f"((n_shingles + other_n_shingles) * {percent} + {99 + percent}) div {100 + percent}"
+    return f"least(room, other_room) + 1 >= {need}"
+
+
 def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept, and the columns named in `carry`.
 
@@ -122,7 +163,8 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 85, carry: tu
        class with fewer than MATCHES shared values is skipped, since no partner could agree in enough.
     3. Of a class's s shared values only the s - MATCHES + 1 rarest are kept: two classes that agree in MATCHES values
        have one of those in common. Frequent values (passages that many documents share) are thereby not merged.
-    4. Lists are linked by `link_within`; a pair is compared by set sizes, then agreeing coordinates, then whole sets.
+    4. Lists are linked by `link_within`, from the class with most shared values outwards; a pair is compared by set
+       sizes, then agreeing coordinates, then whole sets. What is left apart is searched by `prefix_postings`.
 
     `component_id` is the smallest doc_id of the component. Null text or text without words has no shingles, is linked
     with nothing and kept. A null doc_id is larger than any other; of rows repeating the smallest doc_id of a component
@@ -148,12 +190,15 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 85, carry: tu
     by_node = Window.partitionBy("node")
     postings = found.withColumns({
         "place": F.row_number().over(by_node.orderBy("n", "key")), "of": F.count(F.lit(1)).over(by_node),
-    }).where(f"place <= of - {MATCHES} + 1").select("key", "node")
+    }).where(f"place <= of - {MATCHES} + 1").select("key", "node", F.col("of").alias("weight"))
     postings = stored(postings, "postings")
     active = postings.select(F.col("node").alias("row_id")).distinct()
     texts = stored(base.select("row_id", "words").join(active, "row_id", "left_semi").withColumnRenamed("row_id", "node"), "texts")
     active_nodes = stored(nodes.join(texts.select("node"), "node", "left_semi"), "active")
-    labels = link_within(postings, lambda pairs: similar(pairs, active_nodes, texts, width, percent))
+    labels = link_within(
+        postings, lambda pairs: similar(pairs, active_nodes, texts, width, percent),
+        rounds=2, finer=lambda left: prefix_postings(left, active_nodes, texts, width, percent), fits=_enough_room(percent),
+    )
 
     named = classes.join(labels, "node", "left").select("digest", "keep_row", "least_id", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")
