@@ -87,7 +87,7 @@ def link_within(
     postings: DataFrame, test: Callable[[DataFrame], DataFrame], rounds: int = 3, finer: Callable[[DataFrame], DataFrame] | None = None,
     fits: str = "true",
 ) -> DataFrame:
-    """Components of the nodes of (key, node, weight) under `test`, which keeps those (a, b) pairs, a < b, that are linked.
+    """Components of the nodes of (key, node[, weight]) under `test`, which keeps those (a, b) pairs, a < b, that are linked.
 
     Two nodes that share a key are tested, in one component, or known not to be linked, so the components are those that
     testing all pairs of every list would give. First `rounds` times one node of each list is tested with the list's
@@ -96,6 +96,8 @@ def link_within(
     both ends of every link left between components; they are treated in the same way. Last, pairs of a list that are
     still in different components are tested, if they meet `fits`, which every linked pair meets in some list of both.
     """
+    if "weight" not in postings.columns:
+        postings = postings.withColumn("weight", F.lit(0))
     labels = None
     for lists in (postings, finer):
         if lists is None:
