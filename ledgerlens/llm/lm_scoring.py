@@ -147,7 +147,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **shares: f
     read.
     """
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids.hint("merge"), "doc_id", "left")
     rows = stored(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "lm-rows")
     shared = rows.sparkSession.sparkContext.broadcast(fit(rows, **shares))
 
