@@ -14,6 +14,8 @@ from ledgerlens.operators.changes import change, drop_first_year, previous
 from ledgerlens.operators.dedup import annual_facts, first_per_key, keep_last, last_per_year
 from ledgerlens.operators.metrics import class_metrics, summarise_folds
 from ledgerlens.operators.reshape import pivot_items, pivot_metrics, report_rows, slots_to_long
+from ledgerlens.rules import PANEL_ITEMS
+from ledgerlens.sources.company_facts import explode_facts, parse_documents
 
 KEPT_SQL = V.FACTS_SQL + """,
 firsts AS (
@@ -23,7 +25,7 @@ kept AS (
   SELECT * FROM annual
   QUALIFY row_number() OVER (PARTITION BY symbol, fy, tag ORDER BY "end" DESC NULLS FIRST, accn DESC, line DESC, item DESC) = 1)"""
 
-COLUMNS = ["Assets", "Equity", "Revenues", "CashFlowOperations"]
+COLUMNS = list(V.PANEL_COLUMNS)
 
 
 def kept(spark, sf_dir):
@@ -55,6 +57,32 @@ def w2(spark, sf_dir):
     return kept(spark, sf_dir).select("symbol", "fy", "tag", F.col("end").alias("end_date"), "accn", "val")
 
 
+STACKED_SQL = V.FACTS_SQL + f""",
+stacked AS (SELECT *, CASE ns WHEN 'us-gaap' THEN 0 ELSE 1 END AS ns_order, accn // {V.ORDERS_PER_PART} AS part FROM facts),
+annual AS (
+  SELECT * FROM (SELECT * FROM stacked QUALIFY row_number() OVER (PARTITION BY symbol, ns, tag, "end" ORDER BY part, accn, line, item) = 1)
+  WHERE form = '10-K' AND year("end") = fy),
+last_ones AS (
+  SELECT * FROM annual QUALIFY row_number() OVER (
+    PARTITION BY symbol, fy, tag ORDER BY "end" DESC NULLS FIRST, ns_order DESC, part DESC, accn DESC, line DESC, item DESC) = 1)"""
+
+
+@query("w1_all_units", V.sql(STACKED_SQL, select="""SELECT symbol, ns, tag, u.unit, fy, "end" AS end_date, CAST(accn AS VARCHAR) AS accn,
+  CAST(val AS DOUBLE) AS val FROM annual, (VALUES ('USD'), ('pure')) u(unit)"""))
+def w1_all_units(spark, sf_dir):
+    """From nested documents whose concepts list two units: each unit keeps its fact."""
+    facts = explode_facts(parse_documents(V.documents(spark, sf_dir, units=("USD", "pure"))), units="all")
+    return annual_facts(facts).select("symbol", "ns", "tag", "unit", "fy", F.col("end").alias("end_date"), "accn", "val")
+
+
+@query("w2_keep_last_namespaces", V.sql(STACKED_SQL, select="""SELECT symbol, fy, tag, ns, "end" AS end_date, CAST(accn AS VARCHAR) AS accn,
+  CAST(val AS DOUBLE) AS val FROM last_ones"""))
+def w2_namespaces(spark, sf_dir):
+    """From nested documents: of facts with one end, that of the later namespace is last."""
+    facts = annual_facts(explode_facts(parse_documents(V.documents(spark, sf_dir))))
+    return keep_last(facts).select("symbol", "fy", "tag", "ns", F.col("end").alias("end_date"), "accn", "val")
+
+
 @query("w3_last_per_year", V.sql(V.SNAPSHOTS_SQL, select="""SELECT CAST(year(date) AS INT) AS year, date, slot1, slot2, slot3, slot4, slot5
   FROM snapshots QUALIFY row_number() OVER (PARTITION BY year(date) ORDER BY date DESC) = 1"""))
 def w3(spark, sf_dir):
@@ -164,10 +192,10 @@ def a6(spark, sf_dir):
 
 
 @query("a7_pivot_items", V.sql(KEPT_SQL, select=f"""SELECT symbol, fy,
-  {", ".join(f"MAX(val) FILTER (tag = '{t}') AS {t}" for t in ("Assets", "Cash", "NetIncomeLoss", "Revenues"))}
-  FROM kept WHERE tag IN ('Assets', 'Cash', 'NetIncomeLoss', 'Revenues') GROUP BY symbol, fy"""))
+  {", ".join(f"MAX(val) FILTER (tag = '{t}') AS {t}" for t in PANEL_ITEMS)}
+  FROM kept WHERE tag IN ({", ".join(f"'{t}'" for t in PANEL_ITEMS)}) GROUP BY symbol, fy"""))
 def a7(spark, sf_dir):
-    return pivot_items(kept(spark, sf_dir), ("Assets", "Cash", "NetIncomeLoss", "Revenues"))
+    return pivot_items(kept(spark, sf_dir), PANEL_ITEMS)
 
 
 FOLD_RATES_SQL = V.SCORES_SQL + """,
@@ -236,10 +264,10 @@ def a12(spark, sf_dir):
 
 
 @query("a13_winsorize_quantile", V.sql(V.PANEL_SQL, select=f"""SELECT symbol, fy,
-  {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest((SELECT quantile_cont({c}, 0.05) FROM panel), least((SELECT quantile_cont({c}, 0.95) FROM panel), {c})) END, 6) AS {c}" for c in COLUMNS)}
+  {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest((SELECT quantile_cont({c}, 0.0001) FROM panel), least((SELECT quantile_cont({c}, 0.9999) FROM panel), {c})) END, 6) AS {c}" for c in COLUMNS)}
   FROM panel"""))
 def a13(spark, sf_dir):
-    clipped = S.winsorize_quantile(V.panel(spark, sf_dir), COLUMNS, probs=(0.05, 0.95))
+    clipped = S.winsorize_quantile(V.panel(spark, sf_dir), COLUMNS, probs=(0.0001, 0.9999))
     return clipped.select("symbol", "fy", *[r6(c) for c in COLUMNS])
 
 

@@ -32,7 +32,7 @@ from ledgerlens.streaming.score_stream import latest_scores, start_scoring
 KEY = "FY_symbol"
 # Everyday sizes of the three scoring models; `SCORING_PARAMS` holds the full ones.
 LIGHT_PARAMS = {
-    "forest": {"mtry": 7, "trees": 20},
+    "forest": {"mtry": 7, "trees": 20, "depth": 8},
     "boosting": {"trees": 10, "depth": 3, "learn_rate": 0.1},
     "kernel": {"cost": 10.0, "sigma": 0.01, "dims": 128},
 }
@@ -72,6 +72,20 @@ def m4(spark, sf_dir):
     return ML.predict(model, table).select("symbol", "fy", KEY, "pred", F.size(inputs).alias("predictors"))
 
 
+_LABELLED_SQL = """
+labelled AS (SELECT d.doc_id, CAST(l.quality AS INT) AS truth FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@query("m1_split_null_labels", V.sql(_LABELLED_SQL, select=f"""SELECT doc_id, truth,
+  row_number() OVER (PARTITION BY truth ORDER BY {_HASH}, doc_id) <= floor(COUNT(*) OVER (PARTITION BY truth) * 0.7::DOUBLE) AS is_train
+  FROM labelled"""))
+def m1_null_labels(spark, sf_dir):
+    """Documents without a label are split like a class of their own."""
+    labels = V.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("truth"))
+    rows = V.table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return R.stratified_split(rows, "truth", "doc_id").select("doc_id", "truth", "is_train")
+
+
 # ---------------------------------------------------------------- metrics
 
 
@@ -262,11 +276,12 @@ def snk2(spark, sf_dir):
 def requests(spark, sf_dir):
     """Score every firm's last two years."""
     kept = last_facts(spark, sf_dir).select("symbol", "fy").distinct()
-    return kept.filter(F.col("fy") >= 2000)
+    last = kept.groupBy("symbol").agg(F.max("fy").alias("_last"))
+    return kept.join(last, "symbol").filter(F.col("fy") >= F.col("_last") - 1).drop("_last")
 
 
 REQUESTS_SQL = KEPT_SQL + """,
-requests AS (SELECT DISTINCT symbol, fy FROM kept WHERE fy >= 2000),
+requests AS (SELECT symbol, fy FROM (SELECT DISTINCT symbol, fy FROM kept) QUALIFY fy >= max(fy) OVER (PARTITION BY symbol) - 1),
 years AS (SELECT symbol, fy FROM requests UNION SELECT symbol, fy - 1 FROM requests)"""
 
 
@@ -335,7 +350,7 @@ def saved_models(spark, sf_dir):
 def s4(spark, sf_dir):
     scored = score_batch(
         annual_facts(V.facts(spark, sf_dir)), requests(spark, sf_dir), ranks(spark, sf_dir),
-        history(spark, sf_dir), models=saved_models(spark, sf_dir),
+        history(spark, sf_dir), models=saved_models(spark, sf_dir), fitted=fitted(spark, sf_dir),
     )
     return scored.select("symbol", "fy", KEY, "pred_forest", "pred_boosting", "pred_kernel", "overall")
 

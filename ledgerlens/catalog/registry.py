@@ -38,6 +38,11 @@ def stage(name: str, build: Query) -> Query:
     return load
 
 
+def forget() -> None:
+    """Let the next query build its stages anew, as a first run would."""
+    _STAGES.clear()
+
+
 def r6(value: Column | str, name: str | None = None) -> Column:
     """Doubles are compared at six decimals; adding 0.0 turns -0.0 into 0.0."""
     column = F.col(value) if isinstance(value, str) else value

@@ -204,9 +204,9 @@ def p16(spark, sf_dir):
     )
 
 
-@query("p17_label_cast", "SELECT doc_id, CAST(quality AS INT) AS label FROM labels WHERE quality IN (0, 1)")
+@query("p17_label_cast", "SELECT doc_id, CAST(quality AS INT) AS label FROM labels")
 def p17(spark, sf_dir):
-    return V.table(spark, sf_dir, "labels").filter(F.col("quality").isin(0, 1)).select(
+    return V.table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("label")
     )
 

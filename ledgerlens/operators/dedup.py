@@ -20,7 +20,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def first_per_end(facts: DataFrame, keys: tuple[str, ...] = ("symbol", "ns", "tag")) -> DataFrame:
-    """First fact per period end, in document order."""
+    """First fact per period end, in document order; facts in different units are different facts."""
+    keys = (*keys, "unit") if "unit" in facts.columns else keys
     return first_per_key(facts, [*keys, "end"], [F.col("pos").asc()])
 
 
@@ -41,7 +42,7 @@ def keep_last(facts: DataFrame) -> DataFrame:
 
 
 def last_per_year(snapshots: DataFrame, date: str = "date", year: str = "year") -> DataFrame:
-    """Latest snapshot of each year, column by column in date order (nulls included)."""
+    """Latest snapshot of each year (nulls included); of two with one date the greater by its other columns."""
     rest = [c for c in snapshots.columns if c not in (date, year)]
-    latest = F.max_by(F.struct(date, *rest), F.col(date)).alias("_last")
+    latest = F.max(F.struct(date, *rest)).alias("_last")
     return snapshots.groupBy(year).agg(latest).select(year, "_last.*")

@@ -21,8 +21,8 @@ from ledgerlens.operators.kernel import RandomFourierFeatures
 from ledgerlens.operators.resample import downsample
 from ledgerlens.session import shared_dir
 
-# Trees are grown this deep; Spark's own default (5) is shallow for unpruned forests.
-FOREST_DEPTH = 8
+# Trees of a forest are not pruned: Spark's greatest depth.
+FOREST_DEPTH = 30
 
 ROWS_PER_FIT_TASK = 20_000
 
@@ -53,10 +53,11 @@ def fit_lasso(df: DataFrame, features: list[str], label: str, penalty: float = 0
 
 
 def fit_forest(
-    df: DataFrame, features: list[str], label: str, mtry: int = 7, trees: int = 200, seed: int = 1
+    df: DataFrame, features: list[str], label: str, mtry: int = 7, trees: int = 200, depth: int = FOREST_DEPTH,
+    least_rows: int = 1, seed: int = 1,
 ) -> PipelineModel:
     estimator = RandomForestClassifier(
-        featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=FOREST_DEPTH, seed=seed,
+        featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=least_rows, seed=seed,
         featureSubsetStrategy=str(min(mtry, len(features))),
     )
     return Pipeline(stages=[_assembled(features), estimator]).fit(df)

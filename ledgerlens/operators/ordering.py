@@ -28,10 +28,20 @@ def stable_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary"))
 
 
+def join_groups(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null is a group like any other; the keys come from `df`."""
+    named = table.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = None
+    for k in keys:
+        equal = df[k].eqNullSafe(named[f"_g_{k}"])
+        same = equal if same is None else same & equal
+    return df.join(named, same).drop(*(f"_g_{k}" for k in keys))
+
+
 def hash_row_number(df: DataFrame, groups: list[str], key: str, seed: int, name: str) -> DataFrame:
     """1-based rank of each row within its group under `stable_hash(key, seed)`.
 
-    `key` must be unique and the groups non-null. Hash prefixes are the buckets, so they are even whatever
+    `key` must be unique; null is a group of its own. Hash prefixes are the buckets, so they are even whatever
     the group sizes are.
     """
     hashed = df.withColumn("_h", stable_hash(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
@@ -40,7 +50,7 @@ def hash_row_number(df: DataFrame, groups: list[str], key: str, seed: int, name:
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     in_bucket = Window.partitionBy(*groups, "_b").orderBy("_h", key)
-    ranked = hashed.join(offsets, [*groups, "_b"]).withColumn(
+    ranked = join_groups(hashed, offsets, [*groups, "_b"]).withColumn(
         name, (F.row_number().over(in_bucket) + F.col("_off")).cast("bigint")
     )
     return ranked.select(*df.columns, name)
@@ -57,8 +67,8 @@ def _with_bounds(df: DataFrame, groups: list[str], value: str, group_bound: int
         return df.withColumn("_q", df.agg(quantiles).scalar())
     bounds = df.groupBy(*groups).agg(quantiles)
     if group_bound is not None and group_bound <= MAX_BOUND_GROUPS:
-        return df.join(F.broadcast(bounds), groups)
-    return df.join(broadcast_if_small(cut_lineage(bounds), MAX_BOUND_GROUPS), groups)
+        return join_groups(df, F.broadcast(bounds), groups)
+    return join_groups(df, broadcast_if_small(cut_lineage(bounds), MAX_BOUND_GROUPS), groups)
 
 
 def _value_buckets(df: DataFrame, groups: list[str], value: str, group_bound: int | None) -> DataFrame:
@@ -83,7 +93,7 @@ def running_totals(
     """Add `before_<s>`: the total of `s` over all smaller values of the group.
 
     `df` has one row per (group, value); aggregate equal values first, which also absorbs heavy ties.
-    `group_bound` is the number of groups where the caller knows it. Groups are non-null.
+    `group_bound` is the number of groups where the caller knows it. Null is a group of its own.
     """
     bucketed = _value_buckets(df, groups, value, group_bound)
     totals = bucketed.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -92,7 +102,7 @@ def running_totals(
         *groups, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums]
     )
     inside = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = bucketed.join(offsets, [*groups, "_b"])
+    joined = join_groups(bucketed, offsets, [*groups, "_b"])
     return joined.select(
         *df.columns, *[(F.col(f"_o_{s}") + F.sum(s).over(inside) - F.col(s)).alias(f"before_{s}") for s in sums]
     )

@@ -11,15 +11,15 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordering import hash_row_number
+from ledgerlens.operators.ordering import hash_row_number, join_groups
+from ledgerlens.session import broadcast_if_small
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.7, seed: int = 1) -> DataFrame:
-    """Add `is_train`: floor(share * n) rows of every label."""
+    """Add `is_train`: floor(share * n) rows of every label; rows without a label are a class of their own."""
     ranked = hash_row_number(df, [label], key, seed, "_rn")
-    # One row per label value: the bound of this broadcast is the number of classes.
     sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("_take"))
-    split = ranked.join(F.broadcast(sizes), label)
+    split = join_groups(ranked, broadcast_if_small(sizes), [label])
     return split.withColumn("is_train", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_train")
 
 

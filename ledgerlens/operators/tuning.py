@@ -15,13 +15,14 @@ from ledgerlens.operators.models import FITTERS, balanced_rows, fit_balanced, pr
 from ledgerlens.operators.ordering import hash_row_number
 from ledgerlens.session import cut_lineage, scratch_path
 
-# Tree prefixes are scored in one projection with a column per tree; larger ensembles are fitted one by one.
+# The first k trees of a boosted ensemble are the ensemble of size k, so one fit serves several sizes; beyond this
+# many columns per tree a size gets its own fit, with the same scores. Forests have no such prefixes.
 MAX_PREFIX_TREES = 300
 
 
 def _prefix_groups(kind: str, grid: list[dict]) -> list[list[dict]]:
-    """Configurations that one fit can serve: the same parameters but for the number of trees."""
-    if kind not in ("forest", "boosting"):
+    """Configurations that one fit can serve: boosting with the same parameters but for the number of trees."""
+    if kind != "boosting":
         return [[point] for point in grid]
     groups: dict[tuple, list[dict]] = {}
     for point in grid:
@@ -31,23 +32,19 @@ def _prefix_groups(kind: str, grid: list[dict]) -> list[list[dict]]:
     return list(groups.values())
 
 
-def prefix_scores(kind: str, model: PipelineModel, df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Scores of the ensembles that consist of the first k trees, `score_<k>`, from one fitted model."""
+def prefix_scores(model: PipelineModel, df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Scores of the boosted ensembles that consist of the first k trees, `score_<k>`, from one fitted model."""
     ensemble = model.stages[-1]
     scored = model.stages[0].transform(df)
     terms: list[Column] = []
     for t, (tree, weight) in enumerate(zip(ensemble.trees, ensemble.treeWeights)):
-        if kind == "forest":
-            tree.setFeaturesCol("_features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_t{t}")
-            terms.append(F.element_at(vector_to_array(f"_t{t}"), 2))
-        else:
-            tree.setFeaturesCol("_features").setPredictionCol(f"_t{t}")
-            terms.append(F.col(f"_t{t}") * weight)
+        tree.setFeaturesCol("_features").setPredictionCol(f"_t{t}")
+        terms.append(F.col(f"_t{t}") * weight)
         scored = tree.transform(scored)
 
     def total(k: int) -> Column:
         summed = F.aggregate(F.array(*terms[:k]), F.lit(0.0), lambda acc, x: acc + x)
-        return summed / k if kind == "forest" else 1.0 / (1.0 + F.exp(-2.0 * summed))
+        return 1.0 / (1.0 + F.exp(-2.0 * summed))
 
     return scored.select(*df.columns, *[total(k).alias(f"score_{k}") for k in sizes])
 
@@ -76,7 +73,7 @@ def tune_grid(
                 F.lit(points[0]["config"]).alias("config"), F.col(label).alias("truth"), "pred", "score"
             )
         else:
-            wide = prefix_scores(kind, model, assessed, [p["trees"] for p in points])
+            wide = prefix_scores(model, assessed, [p["trees"] for p in points])
             pairs = F.array(*[
                 F.struct(F.lit(p["config"]).alias("config"), F.col(f"score_{p['trees']}").alias("score")) for p in points
             ])

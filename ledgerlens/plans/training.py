@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.operators.features import column_filter
 from ledgerlens.operators.metrics import select_best
 from ledgerlens.operators.models import SCORING_PARAMS, coefficients, fit_balanced
-from ledgerlens.operators.resample import SMALL_GRIDS, stratified_folds, stratified_split
+from ledgerlens.operators.resample import FULL_GRIDS, stratified_folds, stratified_split
 from ledgerlens.operators.tuning import last_fit, tune_grid, tuning_table
 from ledgerlens.plans.feature_table import KEYS, LABEL
 
@@ -24,8 +24,11 @@ def tuned_fit(
     kind: str, table: DataFrame, grid: list[dict] | None = None, folds: int = 10, label: str = LABEL,
     key: str = "FY_symbol", seed: int = 1, threads: int = 4,
 ) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
-    """Split, tune on the training part, fit the best configuration: (model, tuning, metrics, confusion)."""
-    grid = SMALL_GRIDS[kind] if grid is None else grid
+    """Split, tune on the training part, fit the best configuration: (model, tuning, metrics, confusion).
+
+    Without a `grid` the full one is searched.
+    """
+    grid = FULL_GRIDS[kind] if grid is None else grid
     features = feature_names(table, label)
     split = stratified_split(table, label, key, seed=seed)
     train = stratified_folds(split.filter("is_train").drop("is_train"), label, key, folds, seed)

@@ -72,9 +72,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; above the bound the join stays a shuffle join.
 
-    `df` should be cheap to count (checkpointed, or a read of a small table). The count stops at
-    `max_rows + 1` rows.
+    `df` should be cheap to count (stored, or a small aggregate).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df

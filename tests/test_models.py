@@ -97,18 +97,26 @@ def test_fourier_features_approximate_the_kernel(spark):
 def test_prefixes_of_a_boosted_model_equal_their_own_fits(planted):
     long = ML.fit_boosting(planted, FEATURES, "label", trees=6, depth=2, learn_rate=0.1)
     short = ML.fit_boosting(planted, FEATURES, "label", trees=3, depth=2, learn_rate=0.1)
-    prefix = T.prefix_scores("boosting", long, planted, [3, 6]).select("id", "score_3", "score_6")
+    prefix = T.prefix_scores(long, planted, [3, 6]).select("id", "score_3", "score_6")
     own = ML.predict(short, planted).select("id", F.col("score").alias("own"))
     full = ML.predict(long, planted).select("id", F.col("score").alias("full"))
     gap = prefix.join(own, "id").join(full, "id").agg(F.max(F.abs(F.expr("score_3 - own"))), F.max(F.abs(F.expr("score_6 - full")))).first()
     assert max(gap) < 1e-9
 
 
-def test_prefixes_of_a_forest(planted):
-    model = ML.fit_forest(planted, FEATURES, "label", mtry=2, trees=5)
-    prefix = T.prefix_scores("forest", model, planted, [2, 5]).select("id", "score_5")
-    gap = prefix.join(ML.predict(model, planted), "id").agg(F.max(F.abs(F.expr("score - score_5")))).first()[0]
-    assert gap < 1e-9
+def test_a_forest_configuration_does_not_depend_on_the_rest_of_the_grid(planted):
+    folded = R.stratified_folds(planted, "label", "id", folds=2)
+    metrics = {}
+    for trees in ([4], [4, 8]):
+        grid = R.grid_points(mtry=[2], trees=trees)
+        rows = T.tune_grid("forest", folded, FEATURES, "label", "id", grid).filter("config = 1").collect()
+        metrics[len(trees)] = {(r.fold, r.metric): round(r.value, 9) for r in rows}
+    assert metrics[1] == metrics[2]
+
+
+def test_depth_of_a_forest_is_a_parameter(planted):
+    depth = lambda **p: max(t.depth for t in ML.fit_forest(planted, FEATURES, "label", trees=3, **p).stages[-1].trees)
+    assert depth(depth=2) == 2 and depth() > 8 and depth(least_rows=200) < depth()
 
 
 def test_tuning_scores_every_configuration_on_every_fold(planted):
@@ -124,7 +132,7 @@ def test_tuning_scores_every_configuration_on_every_fold(planted):
 
 def test_tuned_fit(planted):
     table = planted.select(F.lit("s").alias("symbol"), F.lit(2020).alias("fy"), F.col("id").alias("FY_symbol"), *FEATURES, F.col("label").alias("DiscretionaryAccrualsBinary"))
-    model, tuning, tested, _ = tuned_fit("lasso", table, folds=2)
+    model, tuning, tested, _ = tuned_fit("lasso", table, R.SMALL_GRIDS["lasso"], folds=2)
     assert tuning.count() == 12 and {r.metric: r.value for r in tested.collect()}["roc_auc"] > 0.9
     assert list(model.stages[0].getInputCols()) == FEATURES
 
@@ -138,3 +146,11 @@ def test_importance_ranks_the_driver_first(planted):
 def test_vote_and_texts(spark):
     votes = spark.createDataFrame([(0, 0, 1), (0, 1, 1)], "a int, b int, c int")
     assert [r.overall for r in ML.vote(votes, ["a", "b", "c"]).orderBy("b").collect()] == ["Moderately", "Extremely"]
+
+
+def test_rows_without_a_label_are_split_too(planted):
+    rows = planted.withColumn("label", F.when(F.col("id").endswith("7"), None).otherwise(F.col("label")))
+    split = R.stratified_split(rows, "label", "id")
+    assert split.count() == rows.count() == R.stratified_folds(rows, "label", "id").count()
+    shares = {r.label: (r.train, r.n) for r in split.groupBy("label").agg(F.count_if("is_train").alias("train"), F.count(F.lit(1)).alias("n")).collect()}
+    assert set(shares) == {None, 0, 1} and all(train == int(n * 0.7) for train, n in shares.values())

@@ -96,6 +96,12 @@ def test_history_wins(spark):
     assert rows == {("2020 A", 1.0), ("2021 A", 3.0)}
 
 
+def test_new_rows_that_repeat_a_key_count_once(spark):
+    history = spark.createDataFrame([("a", 1.0)], "FY_symbol string, x double")
+    new = spark.createDataFrame([("b", 2.0), ("b", 3.0), ("a", 9.0)], "FY_symbol string, x double")
+    assert {tuple(r) for r in append_to_history(history, new).collect()} == {("a", 1.0), ("b", 2.0)}
+
+
 def test_frozen_statistics_do_not_depend_on_the_batch(spark):
     history = spark.createDataFrame([(f"h{i}", float(i)) for i in range(20)], "FY_symbol string, x double")
     one = spark.createDataFrame([("n1", 3.0)], "FY_symbol string, x double")

@@ -3,7 +3,9 @@ from __future__ import annotations
 import json
 
 from ledgerlens import schemas
-from ledgerlens.operators.dedup import annual_facts
+from pyspark.sql import functions as F
+
+from ledgerlens.operators.dedup import annual_facts, keep_last
 from ledgerlens.operators.lookup import layered_directory, manual_identifiers, resolve_identifiers, unresolved
 from ledgerlens.plans.constituents import constituent_tickers, worklist
 from ledgerlens.sources.company_facts import explode_facts, parse_documents, parse_report
@@ -72,6 +74,27 @@ def test_documents(spark, tmp_path):
     assert [r.tag for r in annual_facts(explode_facts(parsed)).collect()] == ["Shares"]
 
 
+def test_order_of_facts_across_namespaces_and_units(spark, tmp_path):
+    """One tag in two namespaces and two units with the same end: the later namespace is last, each unit keeps its fact."""
+    both = {"facts": {
+        "dei": {"T": {"label": "t", "units": {"USD": [fact("2020-12-31", 2)]}}},
+        "us-gaap": {"T": {"label": "t", "units": {"USD": [fact("2019-12-31", 7), fact("2020-12-31", 1)], "shares": [fact("2020-12-31", 4)]}}},
+    }}
+    (tmp_path / "X.json").write_text(json.dumps(both))
+    parsed = parse_documents(read_company_facts(spark, str(tmp_path), layout="files"))
+    rows = annual_facts(explode_facts(parsed))
+    assert [r.val for r in keep_last(rows.withColumn("fy", F.lit(2020)).filter("val <> 7")).collect()] == [2.0]
+    units = annual_facts(explode_facts(parsed, units="all")).filter("ns = 'us-gaap' AND end = '2020-12-31'")
+    assert {(r.unit, r.val) for r in units.collect()} == {("USD", 1.0), ("shares", 4.0)}
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    (tmp_path / "IBM.json").write_text(json.dumps(DOCUMENT))
+    parsed = parse_documents(read_company_facts(spark, str(tmp_path), layout="files"))
+    plan = explode_facts(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_partitioned_table_round_trip(spark, tmp_path):
     frame = spark.range(100).selectExpr("id", "int(2015 + id % 3) AS fy")
     write_table(frame, str(tmp_path / "t"), partition_by="fy")
