@@ -374,6 +374,15 @@ def s5(spark, sf_dir):
     return sentences
 
 
+@query("s5_report_table", V.sql(V.PANEL_SQL, select=" UNION ALL ".join(f"""SELECT symbol, fy, '{name}' AS "Name", {value} AS "Value" FROM panel"""
+  for name, value in [("Ticker", "symbol"), ("Year", "CAST(fy AS VARCHAR)"), *((c, f"CASE WHEN {c} IS NOT NULL THEN printf('%.2f', CAST({c} AS DOUBLE)) END") for c in V.PANEL_COLUMNS)])))
+def s5_table(spark, sf_dir):
+    """The Name/Value half of the report, for every column of a firm-year."""
+    scored = V.panel(spark, sf_dir).withColumn("overall", F.lit("Moderately"))
+    table, _ = report(scored, V.directory(spark, sf_dir, 1), list(V.PANEL_COLUMNS))
+    return table
+
+
 @query("s6_score_stream")
 def s6(spark, sf_dir):
     folder = scratch_path(spark, "stream")

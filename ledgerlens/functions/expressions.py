@@ -77,4 +77,5 @@ def majority(*votes: Column | str) -> Column:
 
 
 def two_decimals(value: Column | str) -> Column:
-    return F.format_string("%.2f", _col(value).cast("double"))
+    number = _col(value).cast("double")
+    return F.when(number.isNotNull(), F.format_string("%.2f", number))
