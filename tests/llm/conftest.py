@@ -7,6 +7,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from brute import edge_rows  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns named like those that the operators make for themselves.
 CLASHING = ("row_id", "kept", "digest", "leaks", "score", "hash", "place", "key", "words", "carry_text", "target", "block", "bits", "norm", "node")
@@ -26,15 +28,6 @@ def frame(spark):
     return build
 
 
-def edge_rows() -> list[tuple[int | None, str | None]]:
-    long_text = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
-    again = "one two three four five six seven eight nine ten"
-    return [
-        (1, None), (2, ""), (3, " \n\t "), (4, "short"), (5, again), (6, again), (6, again), (None, again), (None, None),
-        (7, long_text), (8, long_text + " tail"), (9, "x" * 300_000), (10, again + "\n" + again), (11, "été ¿qué? 日本語 😀 <|endoftext|> á"),
-    ]
-
-
 @pytest.fixture(scope="session")
 def edges(frame):
     from pyspark.sql import functions as F

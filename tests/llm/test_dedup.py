@@ -8,7 +8,7 @@ import re
 
 import brute
 import pytest
-from conftest import edge_rows
+from brute import edge_rows
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import exact_dedup, line_dedup, minhash, substring_dedup

@@ -8,8 +8,8 @@ import zlib
 import brute
 import corpus_pipeline
 import pytest
+from brute import edge_rows
 from compare import compare, oracle_connection
-from conftest import edge_rows
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, lm_scoring, quality, sharding

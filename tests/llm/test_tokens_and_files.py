@@ -8,7 +8,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import edge_rows
+from brute import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
