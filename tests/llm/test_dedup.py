@@ -144,7 +144,7 @@ def test_lines_against_all_pairs(spark, frame):
         rows.append((i, "\n".join(picked)))
     docs, plain = frame(rows), _plain_lines(rows)
     distinct = sorted({n for *_, n in plain})
-    sims = {r.norm: (r.sim_a, r.sim_b) for r in line_dedup.simhashes(spark.createDataFrame([(n,) for n in distinct], "norm string")).collect()}
+    sims = {r.norm: (r.sim_a, r.sim_b) for r in line_dedup.simhashes(spark.createDataFrame([(k, -k, n) for k, n in enumerate(distinct)], "h1 long, h2 long, norm string")).collect()}
     bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(sims[a], sims[b], strict=True))
     links = [
         (a, b) for k, a in enumerate(distinct) for b in distinct[k + 1:]
@@ -161,6 +161,18 @@ def test_lines_against_all_pairs(spark, frame):
     assert {tuple(r) for r in got} == expected
 
 
+def test_edits_without_common_ends(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(9)))
+    rows = [(word(), word(), rng.randrange(9)) for _ in range(300)] + [("", "", 0), ("ab", "ab", 0), ("aba", "ababa", 2), ("x" * 70_000 + "y", "x" * 70_000, 9_000)]
+    df = spark.createDataFrame(rows, "p string, q string, most int").withColumns({
+        "got": F.expr(line_dedup._edits("p", "q", "most")), "plain": F.expr("levenshtein(p, q)"),
+    })
+    for r in df.where("length(p) < 100").collect():
+        assert r.got == (r.plain if r.plain <= r.most else -1)
+    assert df.where("length(p) > 100").select("got").first()["got"] == 1
+
+
 def test_line_query_equals_normalised_lines_where_nothing_is_fuzzy(spark, small):
     got = QUERIES["op6_line_dedup"](spark, SF).collect()
     plain = {(i, k): n for i, k, n in _plain_lines(small)}
