@@ -69,7 +69,7 @@ def _heads(named: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after more links between nodes."""
     if labels is None:
         return connected(links)
@@ -114,10 +114,10 @@ def link_within(
             pairs = named.join(heads, "key").where("component <> head_component").select(
                 F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"),
             )
-            labels = _merged(labels, stored(test(pairs.distinct()), "tested"))
+            labels = merged(labels, stored(test(pairs.distinct()), "tested"))
     if not heads.isEmpty():
         pairs = pairs_across(named.join(heads.select("key"), "key", "left_semi"), fits)
-        labels = _merged(labels, stored(test(pairs.distinct()), "tested"))
+        labels = merged(labels, stored(test(pairs.distinct()), "tested"))
     if labels is None:
         labels = postings.select("node", F.col("node").alias("component")).limit(0)
     return labels

@@ -161,6 +161,31 @@ def test_lines_against_all_pairs(spark, frame):
     assert {tuple(r) for r in got} == expected
 
 
+def test_lines_of_any_edits_against_brute_edit_similarity(frame):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeioubdknrst\U00010400") for _ in range(rng.randrange(2, 9)))
+    lines = []
+    for n in (1, 2, 3, 5, 8, 15, 15, 30):
+        base = [word() for _ in range(n)]
+        one = list(base)
+        one[n // 2] = word()
+        lines += [" ".join(base), " ".join(one), " ".join([*base, word()])]
+        for share in (.05, .1, .14, .15, .16):
+            text = list(" ".join(base))
+            for at in rng.sample(range(len(text)), int(len(text) * share)):
+                text[at] = rng.choice(["", "z", text[at] + "z"])
+            lines.append("".join(text))
+    rows = list(enumerate(lines))
+    norms = {n for *_, n in _plain_lines(rows)}
+    links = [(a, b) for a in norms for b in norms if a < b and brute.levenshtein(a, b) <= int(max(len(a), len(b)) * 0.15 + 1e-9)]
+    group = brute.components(norms, links)
+    first = {}
+    for i, _, n in _plain_lines(rows):
+        first.setdefault(group[n], i)
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.fuzzy_lines(frame(rows)).collect()}
+    assert len(links) > 20 and got == {i: first[group[n]] for i, _, n in _plain_lines(rows)}
+
+
 def test_edits_without_common_ends(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(9)))
