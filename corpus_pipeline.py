@@ -27,8 +27,8 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    return minhash.near_groups(docs, carry=_CARRIED).where("kept").select(*DOCUMENT_COLUMNS)
+    """Of each component of near copies, pairs that share 80 % of their shingles of five words, the document with the smallest doc_id."""
+    return minhash.near_groups(docs, percent=80, carry=_CARRIED).where("kept").select(*DOCUMENT_COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,20 @@ from ledgerlens.llm.common import Words, chunks, rolling, stored, text_column, t
 from ledgerlens.llm.components import link_within
 
 _LAST = (1 << 63) - 1
-#: Coordinates of a signature, and how many must agree before two documents are compared. A pair at the similarity
-#: threshold of 0.85 agrees in 34 of 40 on average; the chance that it agrees in fewer than 18 is below 1e-9.
-COORDINATES, MATCHES = 40, 18
+#: Coordinates of a signature, and the chance that a pair at the similarity threshold agrees in fewer than it must.
+COORDINATES, MISS = 40, 1e-9
 _FACTORS = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROW = "row_id long, doc_id long, words binary, digest binary, n_shingles long, signature array<long>"
 
 
+def matches(percent: int) -> int:
+    """How many coordinates must agree before two documents are compared: the most that miss a pair at `percent` by a chance under MISS, one at least."""
+    p, missed, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (missed := missed + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) < MISS:
+        m += 1
+    return max(m, 1)
+
+
 def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles of each document; fewer words than `width` are one shingle."""
     counts = words.counts()
@@ -96,7 +104,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     left, right = (nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in "ab")
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     likely = pairs.join(left, "a").join(right, "b").where(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (agree >= MATCHES)
+        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (agree >= matches(percent))
     ).select("a", "b")
     both = likely.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a"
@@ -160,8 +168,8 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 85, carry: tu
 
     1. Documents of equal words are one class; only classes take part in what follows.
     2. A class is posted under each (coordinate, value) of its signature. Values that occur once link nothing, and a
-       class with fewer than MATCHES shared values is skipped, since no partner could agree in enough.
-    3. Of a class's s shared values only the s - MATCHES + 1 rarest are kept: two classes that agree in MATCHES values
+       class with fewer than m = `matches(percent)` shared values is skipped, since no partner could agree in enough.
+    3. Of a class's s shared values only the s - m + 1 rarest are kept: two classes that agree in m values
        have one of those in common. Frequent values (passages that many documents share) are thereby not merged.
     4. Lists are linked by `link_within`, from the class with most shared values outwards; a pair is compared by set
        sizes, then agreeing coordinates, then whole sets. What is left apart is searched by `prefix_postings`.
@@ -190,7 +198,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 85, carry: tu
     by_node = Window.partitionBy("node")
     postings = found.withColumns({
         "place": F.row_number().over(by_node.orderBy("n", "key")), "of": F.count(F.lit(1)).over(by_node),
-    }).where(f"place <= of - {MATCHES} + 1").select("key", "node", F.col("of").alias("weight"))
+    }).where(f"place <= of - {matches(percent)} + 1").select("key", "node", F.col("of").alias("weight"))
     postings = stored(postings, "postings")
     active = postings.select(F.col("node").alias("row_id")).distinct()
     texts = stored(base.select("row_id", "words").join(active, "row_id", "left_semi").withColumnRenamed("row_id", "node"), "texts")

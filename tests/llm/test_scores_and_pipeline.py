@@ -171,6 +171,21 @@ def test_pipeline_equals_plain_stages(spark, small):
         assert sum(n for _, n, _ in found) == found[0][2] and sorted(s for s, *_ in found)[0] == 0
 
 
+def test_near_copy_stage_takes_pairs_from_eighty_percent_on(spark, frame):
+    rng, rows = random.Random(10), []
+    for base in range(5):
+        text = [f"t{base}x{k}" for k in range(120)]
+        rows.append((base * 10, " ".join(text)))
+        for copy, edits in enumerate((1, 2, 2, 3, 3)):
+            changed = list(text)
+            for at in rng.sample(range(len(text)), edits):
+                changed[at] = f"n{rng.randrange(10**6)}"
+            rows.append((base * 10 + copy + 1, " ".join(changed)))
+    kept = [{i for i, (_, _, stays) in brute.near(rows, percent=p).items() if stays} for p in (80, 85)]
+    got = corpus_pipeline.one_of_near_copies(spark, frame(rows), SF).collect()
+    assert {r.doc_id for r in got} == kept[0] != kept[1]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_edges(spark, edges, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
