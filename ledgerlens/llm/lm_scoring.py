@@ -3,136 +3,92 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Words, chunks, stored, text_column, text_or_empty
+from ledgerlens.llm.common import Words, chunks, stored, text_column, text_or_empty, with_row_id
 
-_COUNTS = "key long, background long, target long"
+#: In place of word hashes: every word below `word_share`, and the start of a text (context only).
+RARE, START = 0, 1
+#: Keys with this share of all words meet their counts by broadcast, at most 1 / HOT of them; the others by shuffle.
+HOT = 1e-4
 
 
-@dataclass(frozen=True)
-class Models:
-    """Both models over one vocabulary: class 0 is every rarer word, class 1 the start of a text (context only)."""
-
-    words: np.ndarray       # sorted hashes of vocabulary words; word k is class k + 2
-    unigrams: np.ndarray    # [2, classes] log-free probabilities, background and target
-    contexts: np.ndarray    # [2, classes] how often a class is followed by something
-    backoff: np.ndarray     # [2, classes] share left to the unigrams after each class
-    pairs: np.ndarray       # sorted first * classes + second of the pairs kept
-    pair_counts: np.ndarray  # [2, pairs]
-    weight: float
-
-    def losses(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """[2, n] negative log2 probability of each word; `starts` marks the first words of texts."""
-        before = np.empty_like(classes)
-        before[1:] = classes[:-1]
-        before[starts] = 1
-        keys = before * self.unigrams.shape[1] + classes
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        out = np.empty((2, len(classes)))
-        for m in (0, 1):
-            p = self.backoff[m][before] * self.unigrams[m][classes]
-            seen = np.maximum(self.contexts[m][before], 1)
-            p[known] += self.weight * self.pair_counts[m][at[known]] / seen[known]
-            out[m] = -np.log2(p)
-        return out
-
-
-def classes_of(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    hashes = words.hashes.view(np.int64)
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 2, 0)
-
-
-def _first_words(words: Words) -> np.ndarray:
-    first = words.first_word[:-1]
-    return np.unique(first[words.counts() > 0])
-
-
-def _counted(rows: DataFrame, keys_of, arguments) -> DataFrame:
-    """Sum (key, background, target) over all rows: each task counts what it reads, batch by batch, then one shuffle."""
-    shared = rows.sparkSession.sparkContext.broadcast(arguments)
+def _row_pairs(rows: DataFrame) -> DataFrame:
+    """row_id, target, before, word, n: how often each pair of neighbouring words stands in a row; words as hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, target = text_column(batch), batch.column(1).to_numpy(zero_copy_only=False)
-            keys, marks = [], []
+            column = text_column(batch)
             for first, last in chunks(column):
                 words = Words(column, first, last, lower=True)
-                keys.append(keys_of(words, shared.value))
-                marks.append(np.repeat(target[first:last], words.counts()))
-            if keys:
-                keys, marks = np.concatenate(keys), np.concatenate(marks).astype(bool)
-                values, place = np.unique(keys, return_inverse=True)
+                word, n = words.hashes.view(np.int64), words.counts()
+                if not len(word):
+                    continue
+                before = np.empty_like(word)
+                before[1:] = word[:-1]
+                before[words.first_word[:-1][n > 0]] = START
+                owner = np.repeat(np.arange(last - first), n)
+                order = np.lexsort((word, before, owner))
+                word, before, owner = word[order], before[order], owner[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (owner[1:] != owner[:-1])
+                at = np.flatnonzero(new)
+                place = pa.array(owner[at] + first)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(values), pa.array(np.bincount(place, minlength=len(values)).astype(np.int64)),
-                    pa.array(np.bincount(place[marks], minlength=len(values)).astype(np.int64)),
-                ], ["key", "background", "target"])
-
-    parts = rows.select("text", "target").mapInArrow(count, _COUNTS)
-    return parts.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+                    batch.column(1).take(place), batch.column(2).take(place), pa.array(before[at]), pa.array(word[at]),
+                    pa.array(np.diff(np.append(at, len(word)))),
+                ], ["row_id", "target", "before", "word", "n"])
 
+    return rows.select("text", "row_id", "target").mapInArrow(count, "row_id long, target boolean, before long, word long, n long")
 
-def _word_keys(words: Words, _) -> np.ndarray:
-    return words.hashes.view(np.int64)
 
+def _met(left: DataFrame, table: DataFrame, keys: list[str], frequent: str) -> DataFrame:
+    """Inner join with the rows of `table`: those that are `frequent` are broadcast, the others are shuffled."""
+    hot = F.broadcast(table.where(frequent))
+    few = left.join(F.broadcast(table.where(frequent).select(*keys)), keys, "left_anti").join(table.where(f"NOT ({frequent})").hint("merge"), keys)
+    return left.join(hot, keys).unionByName(few)
 
-def _pair_keys(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    classes = classes_of(words, vocabulary)
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    before[_first_words(words)] = 1
-    return before * (len(vocabulary) + 2) + classes
 
+def _pair_losses(
+    pairs: DataFrame, *, word_share: float = 0.0, pair_share: float = 0.0, weight: float = 0.6, add: float = 0.5,
+) -> tuple[DataFrame, DataFrame, float]:
+    """Row pairs -> (row pairs with rare words as one class; before, word, times, loss_0, loss_1; all words).
 
-def _collected(df: DataFrame) -> np.ndarray:
-    table = df.select("key", "background", "target").toArrow()
-    out = np.stack([table.column(k).to_numpy() for k in range(3)]) if table.num_rows else np.zeros((3, 0), np.int64)
-    return out[:, np.argsort(out[0])]
-
-
-def fit(
-    rows: DataFrame, *, word_share: float = 1e-5, pair_share: float = 1e-6, weight: float = 0.6, add: float = 0.5,
-) -> Models:
-    """Count words and pairs of all `rows` (text, target): the background is every row, the target those marked.
-
-    The vocabulary is every word with at least `word_share` of all words, so it has at most 1 / word_share words; the
-    rest are one class. A pair of classes keeps its own probability if it has at least `pair_share` of all pairs, at
-    most 1 / pair_share; the others fall back on the words. Counts are of the whole corpus and are summed by shuffle;
-    what is collected and broadcast are the words and pairs kept, which those shares bound whatever the corpus.
-
-    Both models have the same vocabulary, pairs and smoothing. After class v word w has the probability
-    weight * c(v, w) / c(v) + (1 - weight * kept(v)) * (c(w) + add) / (N + add * classes), which sums to one.
+    Both models, 0 the background of every row and 1 the target, keep every counted word and pair. Words below `word_share`
+    of all words can be made one class, and pairs below `pair_share` fall back on the words; by default none are. After
+    word v word w has the probability weight * c(v, w) / c(v) + (1 - weight * kept(v)) * (c(w) + add) / (N + add * classes),
+    which sums to one; the classes are the words and the one of rare words. Losses are -log2 of it.
     """
-    counts = stored(_counted(rows, _word_keys, None), "word-counts")
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("background", "target"))).first()
-    kept = _collected(counts.where(F.col("background") >= total["background"] * word_share))
-    vocabulary = kept[0]
-    size = len(vocabulary) + 2
-    unigrams = np.empty((2, size))
-    for m, n in enumerate((total["background"], total["target"])):
-        own = np.concatenate(([n - kept[m + 1].sum(), 0], kept[m + 1]))
-        unigrams[m] = (own + add) / (n + add * (size - 1))
-        unigrams[m, 1] = 0.0
-    pairs = stored(_counted(rows, _pair_keys, vocabulary), "pair-counts")
-    contexts = np.zeros((2, size), np.int64)
-    sums = pairs.groupBy(F.expr(f"key div {size}").alias("key")).agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    before = _collected(sums)
-    contexts[:, before[0]] = before[1:]
-    found = _collected(pairs.where(F.col("background") >= total["background"] * pair_share))
-    backoff = np.ones((2, size))
-    for m in (0, 1):
-        own = np.bincount(found[0] // size, found[m + 1], minlength=size)[:size] if found.shape[1] else np.zeros(size)
-        backoff[m] = 1.0 - weight * own / np.maximum(contexts[m], 1)
-    return Models(vocabulary, unigrams, contexts, backoff, found[0], found[1:], weight)
+    sums = [F.sum("n").alias("c0"), F.sum(F.expr("if(target, n, 0L)")).alias("c1")]
+    counts = stored(pairs.groupBy("before", "word").agg(*sums), "pair-counts")
+    words = stored(counts.groupBy("word").agg(F.sum("c0").alias("w0"), F.sum("c1").alias("w1")), "word-counts")
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("w0", "w1")), F.count(F.lit(1)).alias("n")).first()
+    classes = total["n"] + 1
+    if word_share > 0:
+        rare = stored(words.where(F.col("w0") < total["w0"] * word_share).select(F.col("word").alias("rare")), "rare-words")
+        classes -= rare.count()
+        for c in ("before", "word"):
+            pairs = pairs.join(rare, F.col(c) == F.col("rare"), "left").withColumn(c, F.when(F.col("rare").isNotNull(), RARE).otherwise(F.col(c))).drop("rare")
+        pairs = stored(pairs.groupBy("row_id", "target", "before", "word").agg(F.sum("n").alias("n")), "class-pairs")
+        counts = stored(pairs.groupBy("before", "word").agg(*sums), "class-pair-counts")
+        words = stored(counts.groupBy("word").agg(F.sum("c0").alias("w0"), F.sum("c1").alias("w1")), "class-counts")
+    known = F.col("c0") >= total["w0"] * pair_share
+    counts = counts.withColumns({"k0": F.when(known, F.col("c0")).otherwise(0), "k1": F.when(known, F.col("c1")).otherwise(0)})
+    contexts = stored(counts.groupBy("before").agg(*(F.sum(f"{c}{m}").alias(f"{name}{m}") for c, name in (("c", "after"), ("k", "held")) for m in (0, 1))), "contexts")
+    least = total["w0"] * HOT
+    both = _met(_met(counts, contexts, ["before"], f"after0 >= {least}"), words, ["word"], f"w0 >= {least}")
+
+    def loss(m: int):
+        seen = F.greatest(F.col(f"after{m}"), F.lit(1))
+        own = (F.col(f"w{m}") + add) / (total[f"w{m}"] + add * classes)
+        return -F.log2((1 - weight * F.col(f"held{m}") / seen) * own + weight * F.col(f"k{m}") / seen)
+
+    losses = both.select("before", "word", F.col("c0").alias("times"), loss(0).alias("loss_0"), loss(1).alias("loss_1"))
+    return pairs, stored(losses, "pair-losses"), total["w0"]
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **shares: float) -> DataFrame:
@@ -140,7 +96,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **shares: f
 
     The losses are bits per word of the whole text (ASCII lower case, cut at white space) under the target model, of the
     rows whose doc_id is in `target_ids`, and the background model, of all rows; `score` is target_loss -
-    background_loss: the lower, the more a text is like the target. Texts are shuffled once, to meet the target ids.
+    background_loss: the lower, the more a text is like the target. Word and pair counts are stored tables of any size;
+    a row's distinct pairs meet them by shuffle, the most frequent ones by broadcast, and are summed per row.
 
     Null or blank text has no tokens and null losses; a null doc_id is never target; a repeated doc_id is target in each
     of its rows; without target rows the target model is uniform; an empty table gives no rows. Other columns are not
@@ -148,26 +105,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **shares: f
     """
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids.hint("merge"), "doc_id", "left")
-    rows = stored(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "lm-rows")
-    shared = rows.sparkSession.sparkContext.broadcast(fit(rows, **shares))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            column = text_column(batch)
-            for first, last in chunks(column):
-                words = Words(column, first, last, lower=True)
-                losses = models.losses(classes_of(words, models.words), _first_words(words))
-                sums = np.concatenate((np.zeros((2, 1)), np.cumsum(losses, axis=1)), axis=1)
-                n = words.counts()
-                own = sums[:, words.first_word[1:]] - sums[:, words.first_word[:-1]]
-                mean = np.divide(own, n, out=np.full(own.shape, np.nan), where=n > 0)
-                target, background, score = (pa.array(x, mask=n == 0) for x in (mean[1], mean[0], mean[1] - mean[0]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last], pa.array(n.astype(np.int64)), target, background, score],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    kind = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return rows.select("doc_id", "text").mapInArrow(scored, kind)
-
+    rows = stored(with_row_id(rows, F.col("doc_id"), F.col("text"), F.coalesce("target", F.lit(False)).alias("target")), "lm-rows")
+    pairs, losses, total = _pair_losses(stored(_row_pairs(rows), "row-pairs"), **shares)
+    found = _met(pairs.select("row_id", "before", "word", "n"), losses, ["before", "word"], f"times >= {total * HOT}")
+    sums = found.groupBy("row_id").agg(
+        F.sum("n").alias("n_tokens"), *((F.sum(F.col("n") * F.col(f"loss_{m}")) / F.sum("n")).alias(name) for m, name in ((1, "target_loss"), (0, "background_loss"))),
+    )
+    return rows.select("row_id", "doc_id").join(sums, "row_id", "left").select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "target_loss", "background_loss",
+        (F.col("target_loss") - F.col("background_loss")).alias("score"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -133,6 +134,17 @@ def test_language_models_equal_plain_counts(spark, frame, small):
         assert r.score == pytest.approx(own - background)
 
 
+def test_language_models_keep_every_word_and_pair(spark, frame):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(2000))) for k in range(60)] + [(99, "once only words here " + "the " * 50)]
+    docs = frame(rows)
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id < 20")).collect()}
+    classes = 120_000 + 5 + 1
+    plain = lambda n, after: 0.6 / after + 0.4 * 1.5 / (n + 0.5 * classes)
+    for name, n, texts in (("background_loss", 120_054, 61), ("target_loss", 40_000, 20)):
+        bits = -math.log2(plain(n, texts)) - 1999 * math.log2(plain(n, 1))
+        assert getattr(got[3], name) == pytest.approx(bits / 2000)
+
+
 def test_language_model_query_prefers_good_texts(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r.score for r in QUERIES["op9_lm_scoring"](spark, sf).collect()}
