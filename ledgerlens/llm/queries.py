@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
     binary_output,
+    config_packing,
     decontamination,
     exact_dedup,
     line_dedup,
     lm_scoring,
     minhash,
+    negatives,
     packing,
     quality,
     sharding,
     substring_dedup,
+    whitening,
 )
 from ledgerlens.llm.tokens import public_path
 from ledgerlens.session import scratch_path
@@ -124,3 +127,44 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents")).drop("line")
+
+
+@query("op11_config_packing")
+def op11_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = config_packing.pack_best_fit(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.fit_whitening(vectors)
+    error = F.lit(whitening.identity_error(vectors, fit)).cast("double")
+    return whitening.whiten(vectors, fit).select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", error.alias("identity_error"),
+    )
+
+
+@query("op13_hard_negatives", """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND NOT list_contains(list_transform(embedding, c -> c IS NULL OR isnan(c) OR isinf(c)), true)
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), p AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+    )
+    SELECT anchor_id, positive_id, (row_number() OVER best)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+    WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER best <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved))
