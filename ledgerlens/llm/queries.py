@@ -148,10 +148,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_hard_negatives", """
     WITH e AS (
         SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-               list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+               list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
         FROM embeddings
         WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-          AND NOT list_contains(list_transform(embedding, c -> c IS NULL OR isnan(c) OR isinf(c)), true)
+          AND NOT list_contains(list_transform(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c)), true)
     ), s AS (
         SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
         FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
