@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, text_column, text_or_empty
-from ledgerlens.llm.tokens import codec
+from ledgerlens.llm.tokens import ENCODED_BYTES, codec
 
 #: Sequences of one record batch; all batches but a file's last have as many, so sequence k is in batch k // BATCH.
 BATCH = 256
@@ -97,8 +97,8 @@ def write_sequences(
                 target = _Sequences(sinks[0], sequence_schema(length, tokens.size), length)
                 index = pa.ipc.new_stream(sinks[1], _DOCS)
             column = text_column(batch)
-            for first, last in chunks(column):
-                encoded = [np.frombuffer(x + end, "<u4") for x in tokens.encode_many(column[first:last].to_pylist())]
+            for first, last in chunks(column, ENCODED_BYTES):
+                encoded = [np.frombuffer(x + end, "<u4") for x in tokens.encode_array(column[first:last])]
                 target.add(np.concatenate(encoded))
                 counts = np.array([len(x) for x in encoded], np.int64)
                 places = n_tokens + np.concatenate(([0], np.cumsum(counts)[:-1]))

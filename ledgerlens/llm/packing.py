@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, text_column, text_or_empty
-from ledgerlens.llm.tokens import codec
+from ledgerlens.llm.tokens import ENCODED_BYTES, codec
 
 _OUT = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -81,8 +81,8 @@ def pack(
         for batch in batches:
             ids += batch.column(0).to_pylist()
             column = text_column(batch)
-            for first, last in chunks(column):
-                encoded += [x + end for x in tokens.encode_many(column[first:last].to_pylist())]
+            for first, last in chunks(column, ENCODED_BYTES):
+                encoded += [x + end for x in tokens.encode_array(column[first:last])]
         lengths = [len(x) // 4 for x in encoded]
         base = key[0].as_py() << 32
         pieces = assign(lengths, capacity, linear, quadratic)
