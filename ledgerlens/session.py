@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side must stay far below executor memory: 200 000 narrow rows are roughly 20 MB.
 MAX_BROADCAST_ROWS = 200_000
+# Folder of the innermost open `scratch_scope`, below the run's.
+_SCOPE = ""
 
 
 def build_session(app: str = "ledgerlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,14 +54,28 @@ def run_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the run's folder; never reused between runs."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{_SCOPE}{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has stored; call it when its results have been written."""
-    jvm, context = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, run_folder(spark))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """What `scratch_path` names inside lies in one folder, which is given to the caller to delete."""
+    global _SCOPE
+    outer, _SCOPE = _SCOPE, f"{_SCOPE}scope-{uuid.uuid4().hex}/"
+    try:
+        yield f"{run_folder(spark)}/{_SCOPE}".rstrip("/")
+    finally:
+        _SCOPE = outer
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

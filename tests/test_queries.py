@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from compare import compare, oracle_connection
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerlens.catalog import all_oracles, all_queries
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -15,14 +16,14 @@ def connection():
     return oracle_connection(SF_DIR)
 
 
-@pytest.mark.parametrize("key", sorted(oracle_sql()))
+@pytest.mark.parametrize("key", sorted(all_oracles()))
 def test_query_equals_sql(spark, connection, key):
-    assert compare(queries()[key](spark, SF_DIR), connection, oracle_sql()[key]) is None
+    assert compare(all_queries()[key](spark, SF_DIR), connection, all_oracles()[key]) is None
 
 
-@pytest.mark.parametrize("key", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("key", sorted(set(all_queries()) - set(all_oracles())))
 def test_query_has_rows(spark, key):
-    assert queries()[key](spark, SF_DIR).count() > 0
+    assert all_queries()[key](spark, SF_DIR).count() > 0
 
 
 def test_entry_runs(spark):

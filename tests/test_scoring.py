@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -133,21 +134,74 @@ def test_feature_table_shape(world, spark):
     assert {r[0] for r in history.select(LABEL).distinct().collect()} == {0, 1}
 
 
+def two_namespaces(symbol, part, years):
+    """A document whose every tag is reported by two namespaces for one period end, and by two units."""
+    _, _, text = document(symbol, part, years)
+    concepts = json.loads(text)["facts"]["us-gaap"]
+    other = {
+        tag: {"label": tag, "units": {"USD": [x | {"val": x["val"] * 3 + 1} for x in concept["units"]["USD"]][::-1], "EUR": [x | {"val": 7} for x in concept["units"]["USD"]]}}
+        for tag, concept in concepts.items()
+    }
+    late = {"Cash": {"label": "", "units": {"USD": [{"end": f"{years[0]}-12-31", "val": 5, "accn": "a", "fy": years[0], "form": "10-K"}, *concepts["Cash"]["units"]["USD"]]}}}
+    return symbol, part, json.dumps({"facts": {"dei": other, "us-gaap": concepts | late}})
+
+
+def land(folder, documents):
+    folder.mkdir(exist_ok=True)
+    for symbol, part, text in documents:
+        path = folder / f"{len(list(folder.iterdir()))}.json"
+        path.write_text(json.dumps({"symbol": symbol, "part": part, "text": text}))
+        at = 1_600_000_000 + len(list(folder.iterdir()))  # files are taken in by their time
+        os.utime(path, (at, at))
+
+
 def test_stream_equals_batch(spark, world, tmp_path):
-    """Five files, one per micro-batch: new years, an incomplete firm, a restatement and a broken document."""
+    """One file per micro-batch: new years, an incomplete firm, a restatement, two namespaces and a broken document."""
     ranks, history, models, fitted = world
 
     def score(facts, requests):
         return score_batch(facts, requests, ranks, history, models=models, fitted=fitted)
 
-    landing = tmp_path / "landing"
-    landing.mkdir()
-    for i, (symbol, part, text) in enumerate([*NEW[:4], ("X", 0, NEW[0][2][:50])]):
-        (landing / f"{i}.json").write_text(json.dumps({"symbol": symbol, "part": part, "text": text}))
-    paths = [str(tmp_path / n) for n in ("store", "sink", "state")]
-    start_scoring(spark, str(landing), paths[0], paths[1], paths[2], score, files_per_batch=1).awaitTermination()
-    facts = annual_facts(explode_facts(parse_documents(spark.createDataFrame(NEW[:4], DOCUMENT))))
+    documents = [*NEW[:4], two_namespaces("N", 0, [2019, 2020]), document("N", 1, [2018, 2021])]
+    land(tmp_path / "landing", [*documents, ("X", 0, NEW[0][2][:50])])
+    paths = [str(tmp_path / n) for n in ("landing", "scratch", "sink", "state")]
+    start_scoring(spark, *paths, score, files_per_batch=1).awaitTermination()
+    facts = annual_facts(explode_facts(parse_documents(spark.createDataFrame(documents, DOCUMENT))))
     expected = score(facts, facts.select("symbol", "fy").distinct())
-    keep = ["symbol", "fy", "pred_forest", "pred_boosting", "pred_kernel", "overall"]
-    got = {tuple(r) for r in latest_scores(spark, paths[1]).select(*keep).collect()}
-    assert got == {tuple(r) for r in expected.select(*keep).collect()} and {(r[0], r[1]) for r in got} == {("A", 2020)}
+    keep = ["symbol", "fy", *FEATURES[:12], "pred_forest", "pred_boosting", "pred_kernel", "overall"]
+    got = {tuple(r) for r in latest_scores(spark, paths[2]).select(*keep).collect()}
+    assert got == {tuple(r) for r in expected.select(*keep).collect()}
+    assert {(r[0], r[1]) for r in got} == {("A", 2020), ("N", 2019), ("N", 2020), ("N", 2021)}
+    assert not [f for f in os.listdir(paths[1]) if f.startswith("batch")]
+
+
+def test_stream_passes_over_what_is_filed_again(spark, tmp_path):
+    """A document filed again, alone, in a later batch or inside a larger one, touches only what is new."""
+    seen = []
+
+    def score(facts, requests):
+        seen.append((facts.count(), sorted(tuple(r) for r in requests.collect())))
+        return requests
+
+    first, later = document("A", 0, [2019, 2020]), document("B", 0, [2020])
+    larger = json.loads(first[2])
+    larger["facts"]["us-gaap"]["Cash"]["units"]["USD"].append(
+        {"end": "2021-12-30", "val": 1, "accn": "b", "fy": 2021, "fp": "FY", "form": "10-K"},
+    )
+    restated = first[2].replace('"accn": "a"', '"accn": "c"')
+    land(tmp_path / "landing", [first, first, later, ("A", 0, json.dumps(larger)), ("A", 5, restated)])
+    paths = [str(tmp_path / n) for n in ("landing", "scratch", "sink", "state")]
+    query = start_scoring(spark, *paths, score, files_per_batch=1)
+    query.awaitTermination()
+    items = len(PANEL_ITEMS)
+    busy = [x for x in seen if x[1]]
+    assert busy == [
+        (4 * items, [("A", 2019), ("A", 2020), ("A", 2021)]),
+        (2 * items, [("B", 2020), ("B", 2021)]),
+        (items + 2, [("A", 2021), ("A", 2022)]),
+    ]
+    # A later start goes on with the state it finds.
+    land(tmp_path / "landing", [first, document("A", 9, [2022])])
+    seen.clear()
+    start_scoring(spark, *paths, score, files_per_batch=1).awaitTermination()
+    assert [x for x in seen if x[1]] == [(2 * items + 1, [("A", 2022), ("A", 2023)])]
