@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,22 +56,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64; base is odd, so it has an inverse."""
-    up, down = np.full(length, base, np.uint64), np.full(length, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Longest power table that a worker keeps for each base.
+_KEPT_POWERS = 1 << 19
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers_for(base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(int(length).bit_length(), 12))
+    """base^i and base^-i modulo 2^64 for at least `length` values of i; base is odd, so it has an inverse."""
+    kept = _POWERS.get(base)
+    if kept is not None and len(kept[0]) >= length:
+        return kept
+    size = max(1 << int(length - 1).bit_length(), 1 << 12)
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    tables = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= _KEPT_POWERS:
+        _POWERS[base] = tables
+    return tables
 
 
-# Fixed odd bases of the rolling hashes.
-BYTE_BASE = 0x9E3779B97F4A7C15
+# Fixed odd bases of the rolling hashes over words.
 WINDOW_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-_BYTE_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+#: Words are hashed in the fields of two primes (fixed values, with a base in each): as polynomials of their bytes, two
+#: different words of n bytes agree for n of about 2^31 bases at most, whatever their letters are. Longer words get a digest.
+FIELDS = (((1 << 31) - 1, 0x2545F491), ((1 << 31) - 19, 0x5DEECE66))
+LONG_WORD, _SEGMENT = 2048, 1 << 16
+
+
+@lru_cache(maxsize=2)
+def _field_powers(prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo a prime, for places within a segment."""
+    tables = []
+    for x in (base, pow(base, -1, prime)):
+        table = np.ones(1, np.uint64)
+        while len(table) < _SEGMENT + LONG_WORD:
+            table = np.concatenate((table, table * np.uint64(pow(x, len(table), prime)) % np.uint64(prime)))
+        tables.append(table)
+    return tables[0], tables[1]
 
 
 class Words:
@@ -98,15 +120,25 @@ class Words:
         self.hashes = self._hash()
 
     def _hash(self) -> np.ndarray:
-        out, i = np.empty(len(self.begins), np.uint64), 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.begins, self.begins[i] + CHUNK_BYTES)))
-            low, high = int(self.begins[i]), int(self.ends[j - 1])
-            up, down = _powers_for(BYTE_BASE, high - low + 1)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.raw[low:high]] * up[:high - low], out=sums[1:])
-            b, e = self.begins[i:j] - low, self.ends[i:j] - low
-            out[i:j] = (sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64)
+        out, sizes, i = np.empty(len(self.begins), np.uint64), self.ends - self.begins, 0
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.raw[self.begins[k]:self.ends[k]].tobytes(), digest_size=8).digest()
+            out[k] = int.from_bytes(digest, "little")
+        short = np.flatnonzero(sizes <= LONG_WORD)
+        begins, ends = self.begins[short], self.ends[short]
+        while i < len(short):
+            j = max(i + 1, int(np.searchsorted(begins, begins[i] + _SEGMENT)))
+            low, high = int(begins[i]), int(ends[j - 1])
+            b, e = begins[i:j] - low, ends[i:j] - low
+            data = self.raw[low:high].astype(np.uint64) + np.uint64(1)
+            found = np.zeros(len(b), np.uint64)
+            for prime, base in FIELDS:
+                up, down = _field_powers(prime, base)
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(data * up[:len(data)], out=sums[1:])  # below 2^9 * 2^31 * 2^17
+                p = np.uint64(prime)
+                found = (found << np.uint64(32)) | ((sums[e] - sums[b]) % p * down[b] % p)
+            out[short[i:j]] = found + (e - b).astype(np.uint64)
             i = j
         return _mix(out)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -88,12 +87,23 @@ def profiles(docs: DataFrame, width: int, carry: tuple[str, ...] = ()) -> DataFr
     return stored(rows.mapInArrow(profile, _ROW + kinds), "profiles")
 
 
-@lru_cache(maxsize=512)
-def _set_of(words: bytes, width: int) -> frozenset:
-    parts = words.split(b" ")
-    if len(parts) < width:
-        return frozenset([tuple(parts)])
-    return frozenset(zip(*(parts[i:] for i in range(width)), strict=False))
+class _Sets:
+    """Shingle sets of texts; the last ones are kept, up to `limit` bytes of text (a set takes some 20 times as much)."""
+
+    def __init__(self, width: int, limit: int = 1 << 21):
+        self.width, self.limit, self.used, self.known = width, limit, 0, {}
+
+    def of(self, words: bytes) -> frozenset:
+        found = self.known.get(words)
+        if found is None:
+            parts = words.split(b" ")
+            found = frozenset(zip(*(parts[i:] for i in range(self.width)), strict=False)) if len(parts) >= self.width else frozenset([tuple(parts)])
+            if self.used + len(words) > self.limit:
+                self.known, self.used = {}, 0
+            if len(words) <= self.limit:
+                self.known[words] = found
+                self.used += len(words)
+        return found
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -111,10 +121,11 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     ).select("a", "b", "words_a", "words_b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(width)
         for batch in batches:
             kept = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = _set_of(x.as_py(), width), _set_of(y.as_py(), width)
+                one, two = sets.of(x.as_py()), sets.of(y.as_py())
                 common = len(one & two)
                 kept.append(100 * common >= percent * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))

@@ -11,7 +11,7 @@ import pytest
 from brute import edge_rows
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import exact_dedup, line_dedup, minhash, substring_dedup
+from ledgerlens.llm import exact_dedup, line_dedup, lm_scoring, minhash, substring_dedup
 from ledgerlens.llm.components import connected, link_within
 from ledgerlens.llm.queries import QUERIES
 
@@ -215,3 +215,19 @@ def test_line_edges(edges, empty):
     assert sum(r.kept for r in again) == 1 and {(r.keep_doc_id, r.group_size) for r in again} == {(5, len(again))}
     assert all(r.kept for r in rows if not r.line.strip())
     assert line_dedup.fuzzy_lines(empty).count() == 0
+
+
+def test_words_whose_polynomials_agree_modulo_a_power_of_two_stay_apart(spark, frame):
+    """A Thue-Morse word and its complement have one hash modulo 2^64 from 1024 letters on, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    p, q = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    tail = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{p} {tail}"), (2, f"{q} {tail}"), (3, f"a {p} x r s b {q} x r s"), (4, p * 3), (5, q * 3)]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    assert all(r.n_removed == 0 for r in got.values())
+    twins = [(1, " ".join([p, *tail.split()])), (2, " ".join([q, *tail.split()]))]
+    assert {r.doc_id: r.n_shingles for r in minhash.near_groups(frame(rows)).collect()} == {i: n for i, (n, *_) in brute.near(rows).items()}
+    scores = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame(twins), frame(twins[:1])).collect()}
+    want = brute.language_models(twins, {1}, 0.0, 0.0, 0.6, 0.5)
+    for i, (n, target, background) in want.items():
+        assert scores[i].n_tokens == n and abs(scores[i].target_loss - target) < 1e-9 and abs(scores[i].background_loss - background) < 1e-9
