@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.metrics import confusion_matrix, fold_metrics, roc_auc, summarise_folds
 from ledgerlens.operators.models import FITTERS, balanced_rows, fit_balanced, predict
 from ledgerlens.operators.ordering import hash_row_number
+from ledgerlens.operators.penalty_path import path_scores, penalty_path
 from ledgerlens.session import cut_lineage, scratch_path
 
 # The first k trees of a boosted ensemble are the ensemble of size k, so one fit serves several sizes; beyond this
@@ -55,12 +56,16 @@ def tune_grid(
 ) -> DataFrame:
     """(config, fold, metric, value) of every configuration on every fold.
 
-    Per fold the analysis rows are down-sampled once, the assessment rows stay as they are. Each fit writes
+    A LASSO grid is one penalty path for all folds (`penalty_path`). For the others, per fold the analysis rows are down-sampled once, the assessment rows stay as they are. Each fit writes
     its predictions to its own folder, and one aggregate over all of them yields the metrics: the plan's size
     does not grow with the grid. Threads on the driver only submit jobs.
     """
     spark = df.sparkSession
     rows = cut_lineage(df.select(key, label, fold, *features))
+    if kind == "lasso":
+        path = penalty_path(rows, features, label, key, [p["penalty"] for p in grid], fold, seed)
+        scored = cut_lineage(path_scores(path, rows, label, fold, [p["config"] for p in grid]))
+        return fold_metrics(scored, ["config", "fold"], group_bound=len(grid) * len(path.folds))
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     target = scratch_path(spark, f"tune-{kind}")
 
