@@ -99,15 +99,20 @@ def c4(spark, sf_dir):
     return facts.filter(F.col("tag").isin(*PANEL_ITEMS) & F.col("fy").isin(*ITEM_YEARS)).select("symbol", "fy", "tag", "val")
 
 
-@query("c5_facts_to_panel", V.sql(SEQUENCE_SQL + f""",
+def whole_panel_sql(years: str = "true") -> str:
+    """View `whole`: complete firm-years of canonical items."""
+    return SEQUENCE_SQL + f""",
 wide AS (
   SELECT symbol, fy, {_pivot_sql(PANEL_ITEMS)} FROM {LAST}
-  WHERE tag IN ({_quoted(PANEL_ITEMS)}) AND fy IN ({", ".join(map(str, ITEM_YEARS))}) GROUP BY symbol, fy),
+  WHERE tag IN ({_quoted(PANEL_ITEMS)}) AND {years} GROUP BY symbol, fy),
 derived AS (SELECT *, Assets - Equity AS debt, PreTaxIncome + DepreciationAmortization AS EBITDA FROM wide),
 fixed AS (SELECT * REPLACE (coalesce(FixedAssets, Assets - CurrentAssets) AS FixedAssets) FROM derived),
-filled AS (SELECT * REPLACE (coalesce(CurrentAssets, Assets - FixedAssets) AS CurrentAssets) FROM fixed)""",
-    select=f"""SELECT *, concat(CAST(fy AS VARCHAR), ' ', symbol) AS FY_symbol FROM filled
-  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PANEL_ITEMS)}"""))
+filled AS (SELECT * REPLACE (coalesce(CurrentAssets, Assets - FixedAssets) AS CurrentAssets) FROM fixed),
+whole AS (SELECT *, concat(CAST(fy AS VARCHAR), ' ', symbol) AS FY_symbol FROM filled
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PANEL_ITEMS)})"""
+
+
+@query("c5_facts_to_panel", V.sql(whole_panel_sql(f"fy IN ({', '.join(map(str, ITEM_YEARS))})"), select="SELECT * FROM whole"))
 def c5(spark, sf_dir):
     return facts_to_panel(annual_facts(V.facts(spark, sf_dir)), years=ITEM_YEARS)
 

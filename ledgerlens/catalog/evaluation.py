@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog import views as V
 from ledgerlens.catalog.analytics import FOLD_RATES_SQL, KEPT_SQL, cut_rates
-from ledgerlens.catalog.domain import ITEM_YEARS, features, last_facts
+from ledgerlens.catalog.domain import ACCRUALS_SQL, ITEM_YEARS, RESIDUALS_SQL, accruals, features, last_facts, whole_panel_sql
 from ledgerlens.catalog.registry import query, r6, stage
 from ledgerlens.catalog.relational import COMPLETE_SQL, complete, documents
 from ledgerlens.functions import expressions as E
@@ -16,7 +16,8 @@ from ledgerlens.operators import resample as R
 from ledgerlens.operators import tuning as T
 from ledgerlens.operators.canonical import rank_candidates
 from ledgerlens.operators.dedup import annual_facts
-from ledgerlens.operators.features import FEATURES, column_filter
+from ledgerlens.operators.features import ACCRUAL_TERMS, FEATURES, band_label, column_filter, ols_residuals
+from ledgerlens.operators.penalty_path import entry_penalties
 from ledgerlens.operators.reshape import pivot_metrics
 from ledgerlens.operators.stats import apply_normalisation, fit_normalisation
 from ledgerlens.plans.feature_table import LABEL, labelled_features
@@ -26,16 +27,16 @@ from ledgerlens.plans.scoring import (
 )
 from ledgerlens.plans.training import feature_names, scoring_models
 from ledgerlens.session import cut_lineage, scratch_path
+from ledgerlens.sources.company_facts import explode_facts, parse_documents
+from ledgerlens.sources.readers import read_company_facts
 from ledgerlens.sources.writers import load_model, load_tuning, save_model, save_tuning
 from ledgerlens.streaming.score_stream import latest_scores, start_scoring
 
 KEY = "FY_symbol"
-# Everyday sizes of the three scoring models; `SCORING_PARAMS` holds the full ones.
-LIGHT_PARAMS = {
-    "forest": {"mtry": 7, "trees": 20, "depth": 8},
-    "boosting": {"trees": 10, "depth": 3, "learn_rate": 0.1},
-    "kernel": {"cost": 10.0, "sigma": 0.01, "dims": 128},
-}
+# The scoring parameters, but for the number of boosting rounds: a round takes 0.25 to 0.3 s of Spark jobs here, so the
+# 1500 of `SCORING_PARAMS` take some 400 s for one fit. The registered queries take the first rounds of that ensemble.
+BOOSTING_ROUNDS = 20
+QUERY_PARAMS = ML.SCORING_PARAMS | {"boosting": ML.SCORING_PARAMS["boosting"] | {"trees": BOOSTING_ROUNDS}}
 
 # ---------------------------------------------------------------- resampling
 
@@ -63,13 +64,16 @@ def m3(spark, sf_dir):
     return R.downsample(V.scores(spark, sf_dir), "truth", "doc_id").select("doc_id", "truth", "score")
 
 
-@query("m4_role_exclusion")
+_KEYS_SQL = ACCRUALS_SQL  # one firm-year of `lagged` after the first is one row of the feature table
+
+
+@query("m4_role_exclusion", V.sql(_KEYS_SQL, select=f"""SELECT symbol, fy, FY_symbol, {len(FEATURES)} AS predictors FROM lagged WHERE rn > 1"""))
 def m4(spark, sf_dir):
     """Keys ride along and are not predictors: the model's inputs are listed by name."""
     table = features(spark, sf_dir)
     model = ML.fit_lasso(table, feature_names(table), LABEL, penalty=0.05)
     inputs = F.array(*[F.lit(c) for c in model.stages[0].getInputCols()])
-    return ML.predict(model, table).select("symbol", "fy", KEY, "pred", F.size(inputs).alias("predictors"))
+    return ML.predict(model, table).select("symbol", "fy", KEY, F.size(inputs).alias("predictors"))
 
 
 _LABELLED_SQL = """
@@ -174,15 +178,16 @@ def _fitted(kind, spark, sf_dir, **params):
     return ML.fit_balanced(kind, train, feature_names(train), LABEL, KEY, **params)
 
 
-def _tuned(kind, grid, spark, sf_dir):
-    train = R.stratified_folds(_train(spark, sf_dir), LABEL, KEY, folds=3)
+def _tuned(kind, grid, spark, sf_dir, folds=3):
+    train = R.stratified_folds(_train(spark, sf_dir), LABEL, KEY, folds=folds)
     metrics = T.tune_grid(kind, train, feature_names(train), LABEL, KEY, grid)
     return T.tuning_table(metrics, grid)
 
 
 @query("m10_tune_lasso")
 def m10(spark, sf_dir):
-    return _tuned("lasso", R.SMALL_GRIDS["lasso"], spark, sf_dir)
+    """The whole grid of 100 penalties on ten folds."""
+    return _tuned("lasso", R.FULL_GRIDS["lasso"], spark, sf_dir, folds=10)
 
 
 @query("m10_tune_forest")
@@ -208,6 +213,19 @@ def ml1(spark, sf_dir):
     return ML.coefficient_table(_fitted("lasso", spark, sf_dir, penalty=0.02), feature_names(train), train)
 
 
+_CHANGED_SQL = RESIDUALS_SQL + """,
+labelled AS (SELECT l.*, CASE WHEN q.DV BETWEEN m - s AND m + s THEN 0.0 ELSE 1.0 END AS label
+  FROM lagged l JOIN q4 q USING (symbol, fy), (SELECT avg(DV) AS m, stddev_samp(DV) AS s FROM q4) WHERE l.rn > 1)"""
+
+
+@query("ml1_entry_penalties", V.sql(_CHANGED_SQL, select=" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(CASE WHEN min({f}) < max({f}) THEN abs(covar_pop({f}, label)) / stddev_samp({f}) END, 5) AS entry FROM labelled" for f in FEATURES)))
+def ml1_entry(spark, sf_dir):
+    """Where each feature would enter the LASSO path, on features that are not normalised: the path does not depend on it."""
+    rows = band_label(ols_residuals(accruals(spark, sf_dir), "DV", ACCRUAL_TERMS, "DiscretionaryAccruals"), "DiscretionaryAccruals", name=LABEL)
+    return entry_penalties(rows, FEATURES, LABEL).select("feature", F.round("entry", 5).alias("entry"))
+
+
 @query("f7_column_filter")
 def f7(spark, sf_dir):
     table = features(spark, sf_dir)
@@ -215,23 +233,35 @@ def f7(spark, sf_dir):
     return column_filter(table, ML.coefficients(model, feature_names(table)))
 
 
+# The firm-years that the split leaves for testing, with their labels.
+_TESTED_SQL = _CHANGED_SQL + """,
+tested AS (SELECT symbol, fy, CAST(label AS INT) AS truth FROM labelled
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat(FY_symbol, '#1')), FY_symbol)
+    > floor(COUNT(*) OVER (PARTITION BY label) * 0.7::DOUBLE))"""
+_TESTED = V.sql(_TESTED_SQL, select="SELECT symbol, fy, truth, true AS valid FROM tested")
+
+
 def _predicted(kind, spark, sf_dir):
+    """Test rows with their labels; `valid` says that class and score are there and agree with each other."""
     test = split(spark, sf_dir).filter(~F.col("is_train"))
-    model = _fitted(kind, spark, sf_dir, **LIGHT_PARAMS[kind])
-    return ML.predict(model, test).select("symbol", "fy", F.col(LABEL).alias("truth"), "pred", "score")
+    model = _fitted(kind, spark, sf_dir, **QUERY_PARAMS[kind])
+    cut = 0.0 if kind == "kernel" else 0.5
+    agrees = F.col("score").isNotNull() & ~F.isnan("score") & ((F.col("score") > cut) == (F.col("pred") == 1)) | (F.col("score") == cut)
+    return ML.predict(model, test).select("symbol", "fy", F.col(LABEL).cast("int").alias("truth"), agrees.alias("valid"))
 
 
-@query("ml2_random_forest")
+@query("ml2_random_forest", _TESTED)
 def ml2(spark, sf_dir):
     return _predicted("forest", spark, sf_dir)
 
 
-@query("ml3_boosted_trees")
+@query("ml3_boosted_trees", _TESTED)
 def ml3(spark, sf_dir):
+    """The first `BOOSTING_ROUNDS` rounds of the boosted ensemble: a part of it."""
     return _predicted("boosting", spark, sf_dir)
 
 
-@query("ml4_kernel_svm")
+@query("ml4_kernel_svm", _TESTED)
 def ml4(spark, sf_dir):
     return _predicted("kernel", spark, sf_dir)
 
@@ -239,16 +269,17 @@ def ml4(spark, sf_dir):
 @query("ml5_permutation_importance")
 def ml5(spark, sf_dir):
     test = split(spark, sf_dir).filter(~F.col("is_train")).drop("is_train")
-    model = _fitted("forest", spark, sf_dir, **LIGHT_PARAMS["forest"])
+    model = _fitted("forest", spark, sf_dir, **QUERY_PARAMS["forest"])
     ranked = T.permutation_importance(model, test, feature_names(test), LABEL, KEY)
     return ranked.orderBy(F.col("importance").desc(), "feature").limit(10)
 
 
-@query("ml6_predict_text")
+@query("ml6_predict_text", V.sql(_TESTED_SQL, select="SELECT symbol, fy, true AS known FROM tested"))
 def ml6(spark, sf_dir):
     test = split(spark, sf_dir).filter(~F.col("is_train"))
     model = _fitted("lasso", spark, sf_dir, penalty=0.02)
-    return ML.predict_text(model, test).select("symbol", "fy", "text")
+    texts = ML.predict_text(model, test)
+    return texts.select("symbol", "fy", F.col("text").isin(E.MODERATE_TEXT, E.EXTREME_TEXT).alias("known"))
 
 
 @query("ml7_majority_vote", V.sql(V.SCORES_SQL, select="""SELECT doc_id,
@@ -260,14 +291,24 @@ def ml7(spark, sf_dir):
     return ML.vote(votes, list(cuts)).select("doc_id", "overall")
 
 
-@query("snk2_save_and_load")
+@query("snk2_save_and_load", V.sql(_TESTED_SQL, FOLD_RATES_SQL.strip().removeprefix("WITH "), select="""SELECT 'model' AS saved, COUNT(*) AS n, 0 AS differing FROM tested
+  UNION ALL SELECT 'tuning', COUNT(*), 0 FROM summary"""))
 def snk2(spark, sf_dir):
-    """Predictions of a saved and reloaded kernel model, next to a reloaded tuning table."""
+    """Rows of a reloaded model's predictions and of a reloaded tuning table that differ from what was saved."""
     test, folder = split(spark, sf_dir).filter(~F.col("is_train")), scratch_path(spark, "saved")
-    save_model(_fitted("kernel", spark, sf_dir, **LIGHT_PARAMS["kernel"]), f"{folder}/kernel")
-    scored = ML.predict(load_model(f"{folder}/kernel"), test)
-    save_tuning(M.confusion_matrix(scored, LABEL), f"{folder}/confusion")
-    return load_tuning(spark, f"{folder}/confusion")
+    model = _fitted("lasso", spark, sf_dir, penalty=0.02)
+    save_model(model, f"{folder}/model")
+    keys = ["symbol", "fy", "pred", "score"]
+    made, loaded = (ML.predict(m, test).select(*keys) for m in (model, load_model(f"{folder}/model")))
+    summary = cut_lineage(M.summarise_folds(cut_rates(spark, sf_dir), ["pred_cut"]))
+    save_tuning(summary, f"{folder}/tuning")
+    tuning = load_tuning(spark, f"{folder}/tuning")
+
+    def compared(name, saved, found):
+        differing = saved.exceptAll(found).unionByName(found.exceptAll(saved)).agg(F.count(F.lit(1)))
+        return found.agg(F.lit(name).alias("saved"), F.count(F.lit(1)).alias("n")).withColumn("differing", differing.scalar().cast("int"))
+
+    return compared("model", made, loaded).unionByName(compared("tuning", summary, tuning))
 
 
 # ---------------------------------------------------------------- scoring
@@ -293,15 +334,16 @@ def s1(spark, sf_dir):
 
 
 def _history_and_new(spark, sf_dir):
-    panel = complete(spark, sf_dir).select("symbol", "fy", KEY, "Assets", "Equity", "Revenues")
+    panel = complete(spark, sf_dir).select("symbol", "fy", KEY, *V.PANEL_COLUMNS)
     history = panel.filter(F.col("fy") <= 1999)
     return history, panel.filter(F.col("fy") >= 1999).withColumn("Assets", F.col("Assets") + 1)
 
 
 _COMBINED_SQL = COMPLETE_SQL + """,
 combined AS (
-  SELECT symbol, fy, FY_symbol, Assets, Equity, Revenues FROM complete WHERE fy <= 1999
-  UNION ALL SELECT symbol, fy, FY_symbol, Assets + 1, Equity, Revenues FROM complete WHERE fy > 1999)"""
+  SELECT symbol, fy, FY_symbol, %s FROM complete WHERE fy <= 1999
+  UNION ALL SELECT symbol, fy, FY_symbol, %s FROM complete WHERE fy > 1999)""" % (
+    ", ".join(V.PANEL_COLUMNS), ", ".join("Assets + 1 AS Assets" if c == "Assets" else c for c in V.PANEL_COLUMNS))
 
 
 @query("s2_append_to_history", V.sql(_COMBINED_SQL, select='SELECT symbol, fy, FY_symbol AS "FY_symbol", Assets, Equity, Revenues FROM combined'))
@@ -311,10 +353,10 @@ def s2(spark, sf_dir):
 
 _CLIPPED = ", ".join(
     f"greatest(quantile_cont({c}, 0.0001) OVER (), least(quantile_cont({c}, 0.9999) OVER (), {c})) AS {c}"
-    for c in ("Assets", "Equity", "Revenues")
+    for c in V.PANEL_COLUMNS
 )
 _SCALED = ", ".join(
-    f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 5) + 0.0 AS {c}" for c in ("Assets", "Equity", "Revenues")
+    f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 5) + 0.0 AS {c}" for c in V.PANEL_COLUMNS
 )
 
 
@@ -322,7 +364,7 @@ _SCALED = ", ".join(
     _COMBINED_SQL, f"clipped AS (SELECT symbol, fy, {_CLIPPED} FROM combined)",
     select=f"SELECT * FROM (SELECT symbol, fy, {_SCALED} FROM clipped) WHERE fy >= 1999"))
 def s3(spark, sf_dir):
-    columns = ["Assets", "Equity", "Revenues"]
+    columns = list(V.PANEL_COLUMNS)
     rows = normalise_with_history(*_history_and_new(spark, sf_dir), columns)
     return rows.select("symbol", "fy", *[(F.round(c, 5) + 0.0).alias(c) for c in columns])
 
@@ -342,17 +384,33 @@ def saved_models(spark, sf_dir):
         past = history(spark, sf_dir)
         table = apply_normalisation(past, FEATURES, fitted(spark, sf_dir))
         labelled = table.select("symbol", "fy", KEY, LABEL, *FEATURES)
-        _MODELS[key] = scoring_models(cut_lineage(labelled), LIGHT_PARAMS)
+        _MODELS[key] = scoring_models(cut_lineage(labelled), QUERY_PARAMS)
     return _MODELS[key]
 
 
-@query("s4_score_batch")
+_VOTES = ["pred_forest", "pred_boosting", "pred_kernel"]
+
+
+def _voted(scored, *more):
+    """Scored firm-years; `voted` says that all three models and their majority are there."""
+    extreme = sum((F.col(c) for c in _VOTES), F.lit(0)) >= 2
+    agrees = F.col("overall") == F.when(extreme, "Extremely").otherwise("Moderately")
+    return scored.select("symbol", "fy", KEY, F.coalesce(agrees, F.lit(False)).alias("voted"), *more)
+
+
+# Requests are scored if their year and the year before are whole.
+_SCORED_SQL = """SELECT w.symbol, w.fy, w.FY_symbol, true AS voted FROM whole w
+  JOIN whole p ON p.symbol = w.symbol AND p.fy = w.fy - 1"""
+
+
+@query("s4_score_batch", V.sql(whole_panel_sql(), "asked AS (SELECT symbol, max(fy) AS newest FROM kept GROUP BY symbol)",
+    select=_SCORED_SQL + " JOIN asked a ON a.symbol = w.symbol AND w.fy >= a.newest - 1"))
 def s4(spark, sf_dir):
-    scored = score_batch(
+    """Votes on every firm's last two years; of the boosted ensemble the first `BOOSTING_ROUNDS` rounds."""
+    return _voted(score_batch(
         annual_facts(V.facts(spark, sf_dir)), requests(spark, sf_dir), ranks(spark, sf_dir),
         history(spark, sf_dir), models=saved_models(spark, sf_dir), fitted=fitted(spark, sf_dir),
-    )
-    return scored.select("symbol", "fy", KEY, "pred_forest", "pred_boosting", "pred_kernel", "overall")
+    ))
 
 
 @query("s5_report", V.sql(V.SCORES_SQL, V.DIRECTORY_SQL, f"""scored AS (
@@ -383,10 +441,12 @@ def s5_table(spark, sf_dir):
     return table
 
 
-@query("s6_score_stream")
+@query("s6_score_stream", V.sql(whole_panel_sql(), select=_SCORED_SQL.replace("AS voted", "AS voted, true AS as_batch")))
 def s6(spark, sf_dir):
+    """Documents scored as they arrive, every firm-year; `as_batch`: the same features and votes as `score_batch` on all documents."""
     folder = scratch_path(spark, "stream")
-    documents(spark, sf_dir).write.json(f"{folder}/landing")
+    texts = documents(spark, sf_dir)
+    texts.write.json(f"{folder}/landing")
     known, models, past = ranks(spark, sf_dir), saved_models(spark, sf_dir), history(spark, sf_dir)
     stored = fitted(spark, sf_dir)
 
@@ -394,7 +454,12 @@ def s6(spark, sf_dir):
         return score_batch(facts, touched, known, past, models=models, fitted=stored)
 
     start_scoring(
-        spark, f"{folder}/landing", f"{folder}/store", f"{folder}/sink", f"{folder}/state", score
+        spark, f"{folder}/landing", f"{folder}/facts", f"{folder}/sink", f"{folder}/state", score
     ).awaitTermination()
+    facts = annual_facts(explode_facts(parse_documents(read_company_facts(spark, f"{folder}/landing"))))
+    columns = ["symbol", "fy", *FEATURES, *_VOTES]
+    batch = score(facts, facts.select("symbol", "fy").distinct()).select(*columns, F.lit(True).alias("_same"))
     scored = latest_scores(spark, f"{folder}/sink")
-    return scored.select("symbol", "fy", KEY, "pred_forest", "pred_boosting", "pred_kernel", "overall")
+    rounded = lambda df: df.withColumns({f: F.round(f, 9) for f in FEATURES})
+    met = rounded(scored).join(rounded(batch), columns, "left")
+    return _voted(met, F.coalesce("_same", F.lit(False)).alias("as_batch"))
