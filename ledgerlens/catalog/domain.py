@@ -231,3 +231,24 @@ labels_ AS MATERIALIZED (SELECT symbol, fy, CASE WHEN DV BETWEEN m - s AND m + s
 def f6(spark, sf_dir):
     rounded = [(F.round(f, 5) + 0.0).alias(f) for f in FEATURES]
     return features(spark, sf_dir).select("symbol", "fy", "FY_symbol", *rounded, "DiscretionaryAccrualsBinary")
+
+
+_BOUNDS = ", ".join(f"quantile_cont({f}, 0.0001) AS lo_{f}, quantile_cont({f}, 0.9999) AS hi_{f}" for f in FEATURES)
+_CLIP = ", ".join(f"greatest(lo_{f}, least(hi_{f}, {f})) AS {f}" for f in FEATURES)
+
+
+@query("f6_feature_table_train", V.sql(RESIDUALS_SQL + f""",
+labelled AS MATERIALIZED (SELECT l.*, CASE WHEN q.DV BETWEEN m - s AND m + s THEN 0 ELSE 1 END AS label
+  FROM lagged l JOIN q4 q USING (symbol, fy), (SELECT avg(DV) AS m, stddev_samp(DV) AS s FROM q4) WHERE l.rn > 1),
+split_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(FY_symbol, '#1')), FY_symbol)
+    <= floor(COUNT(*) OVER (PARTITION BY label) * 0.7::DOUBLE) AS is_train FROM labelled),
+bounds AS MATERIALIZED (SELECT {_BOUNDS} FROM split_ WHERE is_train),
+clipped AS MATERIALIZED (SELECT symbol, fy, FY_symbol, label, is_train, {_CLIP} FROM split_, bounds),
+moments AS MATERIALIZED (SELECT {", ".join(f"avg({f}) AS m_{f}, nullif(stddev_samp({f}), 0) AS s_{f}" for f in FEATURES)} FROM clipped WHERE is_train)""",
+    select=f"""SELECT symbol, fy, FY_symbol, {", ".join(f"round(coalesce(({f} - m_{f}) / s_{f}, 0), 5) + 0.0 AS {f}" for f in FEATURES)},
+  label AS DiscretionaryAccrualsBinary FROM clipped, moments"""))
+def f6_train(spark, sf_dir):
+    """Features whose winsorizing and scaling see the training rows only."""
+    rounded = [(F.round(f, 5) + 0.0).alias(f) for f in FEATURES]
+    table = feature_table(complete(spark, sf_dir), fit_scope="train")
+    return table.select("symbol", "fy", "FY_symbol", *rounded, "DiscretionaryAccrualsBinary")

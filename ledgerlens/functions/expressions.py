@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 # Texts shown to the user.
 MODERATE_TEXT = "Moderate Proxy for Earnings Management"
 EXTREME_TEXT = "Extreme Proxy for Earnings Management"
+# Overall class and whether the firm engaged; title, year and whether it engaged.
+ANONYMOUS_SENTENCE = (
+    "Based on the Machine Learning models, the overall prediction is that the company had a %s Upwards/Downwards Proxy for Earnings "
+    "Management. This means that the firm likely %s in Earnings Management, based on the Machine Learning models."
+)
+NAMED_SENTENCE = (
+    "Based on the aforementioned predictions, the overall prediction for %s in the year %d is that it %s in Earnings Management"
+)
 
 # Metric names and how reports spell them.
 METRIC_TITLES = {

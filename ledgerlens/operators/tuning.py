@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.operators.metrics import confusion_matrix, fold_metrics, roc_auc, summarise_folds
 from ledgerlens.operators.models import FITTERS, balanced_rows, fit_balanced, predict
 from ledgerlens.operators.ordering import hash_row_number
 from ledgerlens.operators.penalty_path import path_scores, penalty_path
+from ledgerlens.operators.staged import staged_scores
 from ledgerlens.session import cut_lineage, scratch_path
 
-# The first k trees of a boosted ensemble are the ensemble of size k, so one fit serves several sizes; beyond this
-# many columns per tree a size gets its own fit, with the same scores. Forests have no such prefixes.
-MAX_PREFIX_TREES = 300
+#: Trees of one block of a tuned forest.
+FOREST_BLOCK = 50
 
 
 def _prefix_groups(kind: str, grid: list[dict]) -> list[list[dict]]:
@@ -27,14 +29,16 @@ def _prefix_groups(kind: str, grid: list[dict]) -> list[list[dict]]:
         return [[point] for point in grid]
     groups: dict[tuple, list[dict]] = {}
     for point in grid:
-        big = point["trees"] > MAX_PREFIX_TREES
         rest = tuple(sorted((k, v) for k, v in point.items() if k not in ("trees", "config")))
-        groups.setdefault((rest, point["trees"] if big else 0), []).append(point)
+        groups.setdefault(rest, []).append(point)
     return list(groups.values())
 
 
 def prefix_scores(model: PipelineModel, df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Scores of the boosted ensembles that consist of the first k trees, `score_<k>`, from one fitted model."""
+    """Scores of the boosted ensembles that consist of the first k trees, `score_<k>`, from one fitted model, as columns.
+
+    The plan has a column for each tree; `staged_scores` has no such bound.
+    """
     ensemble = model.stages[-1]
     scored = model.stages[0].transform(df)
     terms: list[Column] = []
@@ -50,13 +54,52 @@ def prefix_scores(model: PipelineModel, df: DataFrame, sizes: list[int]) -> Data
     return scored.select(*df.columns, *[total(k).alias(f"score_{k}") for k in sizes])
 
 
+def _configs(points: list[dict], trees: Column) -> Column:
+    """The configuration among `points` that has so many trees."""
+    pairs = [x for p in points for x in (F.lit(p["trees"]), F.lit(p["config"]))]
+    return F.create_map(*pairs)[trees]
+
+
+def forest_block_scores(
+    folder: str, f: int, analysis: DataFrame, assessed: DataFrame, features: list[str], label: str, key: str, grid: list[dict], seed: int,
+) -> list:
+    """Jobs that each fit one block of `FOREST_BLOCK` trees and write its scores of the assessment rows.
+
+    A tuned forest of k trees is defined as the first k / `FOREST_BLOCK` blocks, block b drawn with its own seed, and its
+    score is their mean. So all sizes of one `mtry` take as many trees as the largest, and none depends on the grid.
+    """
+    jobs = []
+    for point in {p["mtry"]: p for p in sorted(grid, key=lambda p: p["trees"])}.values():
+        rest = {k: v for k, v in point.items() if k not in ("config", "trees")}
+        for block in range(point["trees"] // FOREST_BLOCK):
+
+            def run(rest=rest, block=block) -> None:
+                model = FITTERS["forest"](analysis, features, label, trees=FOREST_BLOCK, seed=seed * 1000 + block, **rest)
+                scored = predict(model, assessed).select(F.col(key).alias("key"), F.col(label).alias("truth"), "score")
+                scored.write.parquet(f"{folder}/fold={f}/mtry={rest['mtry']}/block={block}")
+
+            jobs.append(run)
+    return jobs
+
+
+def _forest_sizes(folder: str, rows: DataFrame, grid: list[dict]) -> DataFrame:
+    """(config, fold, truth, pred, score) from the blocks' scores: running means over blocks, per row."""
+    blocks = rows.sparkSession.read.parquet(folder)
+    so_far = Window.partitionBy("fold", "mtry", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    means = blocks.withColumns({"score": F.avg("score").over(so_far), "trees": (F.col("block") + 1) * FOREST_BLOCK})
+    points = F.create_map(*[x for p in grid for x in (F.lit(f"{p['mtry']}/{p['trees']}"), F.lit(p["config"]))])
+    named = means.withColumn("config", points[F.concat_ws("/", F.col("mtry").cast("string"), F.col("trees").cast("string"))])
+    return named.filter("config IS NOT NULL").select("config", F.col("fold").cast("int").alias("fold"), "truth", (F.col("score") > 0.5).cast("int").alias("pred"), "score")
+
+
 def tune_grid(
     kind: str, df: DataFrame, features: list[str], label: str, key: str, grid: list[dict], fold: str = "fold",
     seed: int = 1, threads: int = 4,
 ) -> DataFrame:
     """(config, fold, metric, value) of every configuration on every fold.
 
-    A LASSO grid is one penalty path for all folds (`penalty_path`). For the others, per fold the analysis rows are down-sampled once, the assessment rows stay as they are. Each fit writes
+    A LASSO grid is one penalty path for all folds (`penalty_path`); sizes of a forest are blocks (`forest_block_scores`);
+    sizes of a boosted ensemble are prefixes of one fit (`staged_scores`). Per fold the analysis rows are down-sampled once, the assessment rows stay as they are. Each fit writes
     its predictions to its own folder, and one aggregate over all of them yields the metrics: the plan's size
     does not grow with the grid. Threads on the driver only submit jobs.
     """
@@ -78,23 +121,23 @@ def tune_grid(
                 F.lit(points[0]["config"]).alias("config"), F.col(label).alias("truth"), "pred", "score"
             )
         else:
-            wide = prefix_scores(model, assessed, [p["trees"] for p in points])
-            pairs = F.array(*[
-                F.struct(F.lit(p["config"]).alias("config"), F.col(f"score_{p['trees']}").alias("score")) for p in points
-            ])
-            scored = wide.select(F.col(label).alias("truth"), F.inline(pairs)).select(
-                "config", "truth", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("pred"), "score"
-            )
+            sized = staged_scores(model, assessed, features, label, [p["trees"] for p in points])
+            scored = sized.select(_configs(points, F.col("size")).alias("config"), "truth", (F.col("score") > 0.5).cast("int").alias("pred"), "score")
         scored.write.parquet(f"{target}/fold={f}/first={points[0]['config']}")
 
+    in_blocks = kind == "forest" and all(p["trees"] % FOREST_BLOCK == 0 for p in grid)
     for f in folds:
         with balanced_rows(rows.filter(F.col(fold) != f), label, key, seed) as analysis, ThreadPoolExecutor(threads) as pool:
-            jobs = [
-                pool.submit(inheritable_thread_target(spark)(run), f, points, analysis)
-                for points in _prefix_groups(kind, grid)
-            ]
-            for job in jobs:
+            if in_blocks:
+                assessed = rows.filter(F.col(fold) == f)
+                runs = forest_block_scores(target, f, analysis, assessed, features, label, key, grid, seed)
+            else:
+                runs = [partial(run, f, points, analysis) for points in _prefix_groups(kind, grid)]
+            for job in [pool.submit(inheritable_thread_target(spark)(one)) for one in runs]:
                 job.result()
+    if in_blocks:
+        scored = cut_lineage(_forest_sizes(target, rows, grid))
+        return fold_metrics(scored, ["config", "fold"], group_bound=len(grid) * len(folds))
 
     scored = spark.read.parquet(target).select("config", F.col("fold").cast("int").alias("fold"), "truth", "pred", "score")
     return fold_metrics(scored, ["config", "fold"], group_bound=len(grid) * len(folds))
