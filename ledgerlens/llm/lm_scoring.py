@@ -17,6 +17,8 @@ RARE, START = 0, 1
 PAIR, WORD, CONTEXT, HELD = range(4)
 #: Bytes of text in a block (a longer text is a block of its own), and counted keys of a bucket, by expectation.
 BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 1 << 20
+#: Buckets beyond this number share tasks, which take them one after the other.
+MAX_TASKS = 1 << 16
 
 _BLOCK = "doc_ids array<long>, sizes array<int>, words binary, codes binary"
 _REQUEST = "bucket long, block long, keys binary, n0 binary, n1 binary"
@@ -126,7 +128,14 @@ class _Block:
         return {kind: (both[0][a:b], both[1][a:b]) for kind, a, b in zip(self.kinds, self.ends, self.ends[1:], strict=False)}
 
 
-def _answers(requests: DataFrame, buckets: int, least: float, name: str) -> DataFrame:
+def _target(row: dict) -> np.ndarray:
+    """1 for each row of a block that is target."""
+    marks = np.zeros(len(row["sizes"]))
+    marks[row["targets"] or []] = 1
+    return marks
+
+
+def _answers(requests: DataFrame, tasks: int, least: float, name: str) -> DataFrame:
     """Answers to all requests: each key's counts over all blocks in the order asked; `words` has, once a bucket, its words of `least`."""
 
     def count(group: pa.Table) -> pa.Table:
@@ -141,16 +150,17 @@ def _answers(requests: DataFrame, buckets: int, least: float, name: str) -> Data
             out.append({"bucket": row["bucket"], "block": row["block"], "words": 0 if i else words, "c0": _packed(c0[at]), "c1": _packed(c1[at])})
         return _table(out, _ANSWER_TYPES)
 
-    return stored(requests.repartition(min(buckets, 1 << 16), "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
+    return stored(requests.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
-    """`use` of each block and the answers to it."""
+def _with_answers(blocks: DataFrame, answers: DataFrame, tasks: int, use: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
+    """`use` of each block and the answers to it, in a number of tasks that grows with the table."""
 
     def one(block: pa.Table, found: pa.Table) -> pa.Table:
         return use(block.to_pylist()[0], found.to_pylist())
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
+    dealt = (df.repartition(tasks, "block").groupBy("block") for df in (blocks, answers))
+    return next(dealt).cogroup(next(dealt)).applyInArrow(one, schema)
 
 
 def cross_entropy_difference(
@@ -185,18 +195,18 @@ def cross_entropy_difference(
     targets = stored(targets, "lm-targets")
     total = [blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0, targets.agg(F.sum("n")).first()[0] or 0]
     buckets = 1 + total[0] // BUCKET_KEYS
+    tasks = min(buckets, MAX_TASKS)
 
     def answers(of: DataFrame, kinds: tuple[int, ...], least: float, name: str) -> DataFrame:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    block, target = _Block(row, kinds), np.zeros(len(row["sizes"]))
-                    target[row["targets"] or []] = 1
-                    n0, n1 = block.counted(np.ones(len(block.codes))), block.counted(target[block.owner])
+                    block = _Block(row, kinds)
+                    n0, n1 = block.counted(np.ones(len(block.codes))), block.counted(_target(row)[block.owner])
                     yield from block.requests(row["block"], buckets, n0, n1).to_batches()
 
-        return _answers(of.join(targets.select("block", "targets"), "block", "left").mapInArrow(ask, _REQUEST), buckets, least, name)
+        return _answers(of.join(targets.select("block", "targets"), "block", "left").mapInArrow(ask, _REQUEST), tasks, least, name)
 
     if word_share > 0:
         least = total[0] * word_share
@@ -210,7 +220,7 @@ def cross_entropy_difference(
                 row |= {"words": words.astype("<u8").tobytes(), "codes": _packed(codes)}
             return _table([row], {"block": pa.int64()} | _BLOCK_TYPES)
 
-        blocks = stored(_with_answers(blocks, found, rename, f"block long, {_BLOCK}"), "lm-class-blocks")
+        blocks = stored(_with_answers(blocks, found, tasks, rename, f"block long, {_BLOCK}"), "lm-class-blocks")
         classes = (found.agg(F.sum("words")).first()[0] or 0) + 1
     kinds = (PAIR, WORD, CONTEXT)
     found = answers(blocks, kinds, 0, "pair-answers").withColumn("held", F.lit(False))
@@ -219,13 +229,12 @@ def cross_entropy_difference(
     known = total[0] * pair_share
     if pair_share > 0:
         def ask_held(row: dict, given: list[dict]) -> pa.Table:
-            block, held, target = _Block(row, kinds), _Block(row, (HELD,)), np.zeros(len(row["sizes"]))
-            target[row["targets"] or []] = 1
+            block, held = _Block(row, kinds), _Block(row, (HELD,))
             kept = (block.counts(given)[PAIR][0] >= known)[block.places[PAIR]].astype(float)
-            return held.requests(row["block"], buckets, held.counted(kept), held.counted(kept * target[held.owner]))
+            return held.requests(row["block"], buckets, held.counted(kept), held.counted(kept * _target(row)[held.owner]))
 
         with_targets = blocks.join(targets.select("block", "targets"), "block", "left")
-        more = _answers(_with_answers(with_targets, found, ask_held, _REQUEST), buckets, 0, "held-answers")
+        more = _answers(_with_answers(with_targets, found, tasks, ask_held, _REQUEST), tasks, 0, "held-answers")
         found = found.unionByName(more.withColumn("held", F.lit(True)))
 
     def score(row: dict, given: list[dict]) -> pa.Table:
@@ -242,5 +251,5 @@ def cross_entropy_difference(
             losses.append(pa.array(sums / np.maximum(n, 1), mask=n == 0))
         return pa.table([pa.array(block.doc_ids, pa.int64()), pa.array(n), losses[1], losses[0]], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
-    scored = _with_answers(blocks, found, score, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    scored = _with_answers(blocks, found, tasks, score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -145,6 +145,19 @@ def test_language_models_keep_every_word_and_pair(spark, frame):
         assert getattr(got[3], name) == pytest.approx(bits / 2000)
 
 
+@pytest.mark.parametrize("block_bytes,bucket_keys", [(8 << 20, 1 << 20), (3000, 500)])
+def test_language_model_query_equals_plain_counts(spark, monkeypatch, block_bytes, bucket_keys):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", bucket_keys)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    expected = brute.cross_entropies([tuple(r) for r in docs], good)
+    got = QUERIES["op9_lm_scoring"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(expected[r.doc_id])
+
+
 def test_language_model_query_prefers_good_texts(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r.score for r in QUERIES["op9_lm_scoring"](spark, sf).collect()}
