@@ -8,7 +8,7 @@ from ledgerlens.catalog import views as V
 from ledgerlens.catalog.analytics import KEPT_SQL, kept
 from ledgerlens.catalog.registry import query, r6, stage
 from ledgerlens.catalog.relational import COMPLETE_SQL, complete
-from ledgerlens.operators.canonical import canonicalize, canonicalize_sequence, rank_candidates, resolve_items
+from ledgerlens.operators.canonical import apply_rules, canonicalize, rank_candidates, resolve_items
 from ledgerlens.operators.dedup import annual_facts
 from ledgerlens.operators.features import (
     ACCRUAL_TERMS, CHANGE_NAMES, CHANGE_OF, FEATURES, RATIO_NAMES, RATIO_PARTS, accrual_inputs, band_label,
@@ -79,10 +79,10 @@ def c2(spark, sf_dir):
     return canonicalize(facts, rank_candidates(facts, RULES[:1]), 0, RULES[0])
 
 
-@query("c2_canonicalize_sequence", V.sql(SEQUENCE_SQL, select="SELECT symbol, fy, tag, val FROM s4"))
+@query("c2_canonicalize_sequence", V.sql(SEQUENCE_SQL, select=f"SELECT symbol, fy, tag, val FROM {LAST}"))
 def c2_sequence(spark, sf_dir):
     facts = last_facts(spark, sf_dir)
-    return canonicalize_sequence(facts, rank_candidates(facts, RULES[:4]), RULES[:4])
+    return apply_rules(facts, rank_candidates(facts))
 
 
 @query("c3_resolve_items", V.sql(SEQUENCE_SQL, select=f"""SELECT symbol, fy, {_pivot_sql(TARGETS)} FROM {LAST}
