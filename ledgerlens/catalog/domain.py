@@ -14,6 +14,7 @@ from ledgerlens.operators.features import (
     ACCRUAL_TERMS, CHANGE_NAMES, CHANGE_OF, FEATURES, RATIO_NAMES, RATIO_PARTS, accrual_inputs, band_label,
     change_features, ols_residuals, ratio_features,
 )
+from ledgerlens.operators.regression_state import product_state, state_coefficients
 from ledgerlens.plans.feature_table import feature_table
 from ledgerlens.plans.panel import facts_to_panel
 from ledgerlens.rules import PANEL_ITEMS, RULES, Rule
@@ -203,6 +204,15 @@ def f4(spark, sf_dir):
     return rows.select("symbol", "fy", (F.round("residual", 5) + 0.0).alias("residual"))
 
 
+@query("f4_incremental_residuals", V.sql(RESIDUALS_SQL, select="SELECT symbol, fy, round(DV, 5) + 0.0 AS residual FROM q4"))
+def f4_incremental(spark, sf_dir):
+    """One state row per fiscal year, as if each year had come as a batch."""
+    rows = accruals(spark, sf_dir)
+    states = product_state(rows, "DV", ACCRUAL_TERMS, by=("fy",))
+    rows = ols_residuals(rows, "DV", ACCRUAL_TERMS, coefficients=state_coefficients(states))
+    return rows.select("symbol", "fy", (F.round("residual", 5) + 0.0).alias("residual"))
+
+
 @query("f5_band_label", V.sql(ACCRUALS_SQL, select="""SELECT symbol, fy, CASE WHEN DV BETWEEN m - s AND m + s THEN 0 ELSE 1 END AS label
   FROM accruals, (SELECT avg(DV) AS m, stddev_samp(DV) AS s FROM accruals)"""))
 def f5(spark, sf_dir):

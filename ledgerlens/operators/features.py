@@ -114,9 +114,12 @@ def ols_coefficients(df: DataFrame, y: str, xs: list[str]) -> list[float]:
     return [float(model.intercept), *[float(b) for b in model.coefficients]]
 
 
-def ols_residuals(df: DataFrame, y: str, xs: list[str], name: str = "residual") -> DataFrame:
-    """Residuals of a pooled least-squares regression with intercept; null where an input is null."""
-    intercept, *slopes = ols_coefficients(df, y, xs)
+def ols_residuals(df: DataFrame, y: str, xs: list[str], name: str = "residual", coefficients: list[float] | None = None) -> DataFrame:
+    """Residuals of a pooled least-squares regression with intercept; null where an input is null.
+
+    Coefficients that are given, such as those of a stored state, are used instead of a fit on `df`.
+    """
+    intercept, *slopes = ols_coefficients(df, y, xs) if coefficients is None else coefficients
     fitted = F.lit(intercept)
     for slope, x in zip(slopes, xs):
         fitted = fitted + F.lit(slope) * F.col(x)
