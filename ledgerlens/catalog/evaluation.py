@@ -21,6 +21,7 @@ from ledgerlens.operators.penalty_path import entry_penalties
 from ledgerlens.operators.reshape import pivot_metrics
 from ledgerlens.operators.staged import fit_boosting_stopped
 from ledgerlens.operators.stats import apply_normalisation, fit_normalisation
+from ledgerlens.operators.value_state import store_batch, stored_normalisation
 from ledgerlens.plans.feature_table import LABEL, labelled_features
 from ledgerlens.plans.panel import facts_to_panel
 from ledgerlens.plans.scoring import (
@@ -393,6 +394,24 @@ def s3(spark, sf_dir):
     return rows.select("symbol", "fy", *[(F.round(c, 5) + 0.0).alias(c) for c in columns])
 
 
+_LIMITS = ", ".join(f"quantile_cont({f}, 0.0001) AS lo_{f}, quantile_cont({f}, 0.9999) AS hi_{f}" for f in FEATURES)
+_FITTED_SQL = ACCRUALS_SQL + f""",
+limits AS MATERIALIZED (SELECT {_LIMITS} FROM lagged WHERE rn > 1),
+clipped AS MATERIALIZED (SELECT symbol, fy, {", ".join(f"greatest(lo_{f}, least(hi_{f}, {f})) AS {f}" for f in FEATURES)} FROM lagged, limits WHERE rn > 1),
+moments AS MATERIALIZED (SELECT {", ".join(f"avg({f}) AS m_{f}, nullif(stddev_samp({f}), 0) AS s_{f}" for f in FEATURES)} FROM clipped)"""
+
+
+@query("s3_normalise_by_state", V.sql(_FITTED_SQL, select=f"""SELECT symbol, fy, {", ".join(f"round(coalesce(({f} - m_{f}) / s_{f}, 0), 5) + 0.0 AS {f}" for f in FEATURES)}
+  FROM clipped, moments WHERE fy > 1999"""))
+def s3_state(spark, sf_dir):
+    """All 36 features of the new firm-years, normalised by state of three batches: the history's rows are read once, when they come."""
+    rows, path = accruals(spark, sf_dir), scratch_path(spark, "value-state")
+    for batch, years in enumerate(("fy <= 1996", "fy BETWEEN 1997 AND 1999", "fy > 1999")):
+        store_batch(rows.filter(years), path, batch, FEATURES)
+    scaled = apply_normalisation(rows.filter("fy > 1999"), FEATURES, stored_normalisation(spark, path, FEATURES))
+    return scaled.select("symbol", "fy", *[(F.round(f, 5) + 0.0).alias(f) for f in FEATURES])
+
+
 ranks = stage("ranks", lambda spark, sf_dir: rank_candidates(last_facts(spark, sf_dir)))
 history = stage("history", lambda spark, sf_dir: labelled_features(
     facts_to_panel(annual_facts(V.facts(spark, sf_dir)), years=V.YEARS, ranks=ranks(spark, sf_dir))

@@ -15,27 +15,30 @@ from pyspark.sql.window import Window
 
 from ledgerlens.session import broadcast_if_small, cut_lineage
 
-# Value orderings use 8 x 8 buckets, hash orderings 16^3. Longer comparison chains make generated methods too
+# A search among bounds takes 8 x 8 places, hash orderings have 16^3. Longer comparison chains make generated methods too
 # large for the JVM to compile (8000 bytes), which costs far more than finer buckets gain.
 FAN_OUT = 8
 
 # One row of bounds is about 600 bytes: 6 MB in all.
 MAX_BOUND_GROUPS = 10_000
 
+#: Rows of a bucket beyond which it is split again.
+BUCKET_ROWS = 50_000
+
 
 def stable_hash(key: str, seed: int) -> Column:
     """Repeatable pseudo-random order of rows: md5 of the key and a seed."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary"))
 
 
-def join_groups(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null is a group like any other; the keys come from `df`."""
+def join_groups(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null is a group like any other; the keys come from `df`."""
     named = table.withColumnsRenamed({k: f"_g_{k}" for k in keys})
     same = None
     for k in keys:
         equal = df[k].eqNullSafe(named[f"_g_{k}"])
         same = equal if same is None else same & equal
-    return df.join(named, same).drop(*(f"_g_{k}" for k in keys))
+    return df.join(named, same, how).drop(*(f"_g_{k}" for k in keys))
 
 
 def hash_row_number(df: DataFrame, groups: list[str], key: str, seed: int, name: str) -> DataFrame:
@@ -56,46 +59,70 @@ def hash_row_number(df: DataFrame, groups: list[str], key: str, seed: int, name:
     return ranked.select(*df.columns, name)
 
 
+def _bounds(value: str) -> Column:
+    probs = [i / FAN_OUT**2 for i in range(1, FAN_OUT**2)]
+    return F.percentile_approx(value, probs, 2000).alias("_q")
+
+
 def _with_bounds(df: DataFrame, groups: list[str], value: str, group_bound: int | None) -> DataFrame:
     """Attach approximate quantiles of the group to every row.
 
     One row of bounds per group: broadcast where the caller knows that groups are few, else after counting.
     """
-    probs = [i / FAN_OUT**2 for i in range(1, FAN_OUT**2)]
-    quantiles = F.percentile_approx(value, probs, 2000).alias("_q")
     if not groups:
-        return df.withColumn("_q", df.agg(quantiles).scalar())
-    bounds = df.groupBy(*groups).agg(quantiles)
+        return df.withColumn("_q", df.agg(_bounds(value)).scalar())
+    bounds = df.groupBy(*groups).agg(_bounds(value))
     if group_bound is not None and group_bound <= MAX_BOUND_GROUPS:
         return join_groups(df, F.broadcast(bounds), groups)
     return join_groups(df, broadcast_if_small(cut_lineage(bounds), MAX_BOUND_GROUPS), groups)
 
 
-def _value_buckets(df: DataFrame, groups: list[str], value: str, group_bound: int | None) -> DataFrame:
-    """Add `_b`, an ordered bucket of `value` within its group.
+def _placed(df: DataFrame, columns: list[str], value: str, name: str) -> DataFrame:
+    """Replace the bounds `_q` by the place of `value` among them, 0 where there are none.
 
     Any bounds give exact results downstream; good bounds only make the buckets even. They are searched in
-    two steps, coarse then fine: 2 x 7 comparisons in generated code. A bucket is never null, which also
+    two steps, coarse then fine: 2 x 7 comparisons in generated code. A place is never null, which also
     keeps the optimizer from testing the whole comparison chain for null in a join condition.
     """
     coarse = " + ".join(f"int({value} > _q[{i * FAN_OUT - 1}])" for i in range(1, FAN_OUT))
     fine = " + ".join(f"int({value} > _q[_c * {FAN_OUT} + {j}])" for j in range(FAN_OUT - 1))
-    return (
-        _with_bounds(df, groups, value, group_bound)
-        .selectExpr("*", f"coalesce({coarse}, 0) AS _c")
-        .selectExpr(*df.columns, f"coalesce(_c * {FAN_OUT} + {fine}, 0) AS _b")
-    )
+    searched = df.selectExpr("*", f"coalesce({coarse}, 0) AS _c")
+    return searched.selectExpr(*columns, f"bigint(coalesce(_c * {FAN_OUT} + {fine}, 0)) AS {name}")
+
+
+def _value_buckets(
+    df: DataFrame, groups: list[str], value: str, group_bound: int | None, bucket_rows: int
+) -> DataFrame:
+    """Add `_b`, an ordered bucket of `value` within its group, so many that none has much more than `bucket_rows` rows.
+
+    A group begins with 64 buckets. What is still too large is split by 64 once more, with bounds of its own, until all
+    fit: a group of 10^10 values takes two more passes over it, small ones none but the
+    count of rows per bucket. Values of a group are distinct, so every split makes progress.
+    """
+    bucketed = _placed(_with_bounds(df, groups, value, group_bound), df.columns, value, "_b")
+    keys = [*groups, "_b"]
+    while True:
+        sizes = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.filter(F.col("_n") > bucket_rows).select(*keys)
+        if large.isEmpty():
+            return bucketed
+        inside = join_groups(bucketed, broadcast_if_small(cut_lineage(large)), keys)
+        bounds = broadcast_if_small(cut_lineage(inside.groupBy(*keys).agg(_bounds(value))), MAX_BOUND_GROUPS)
+        finer = _placed(join_groups(bucketed, bounds, keys, "left"), bucketed.columns, value, "_p")
+        bucketed = finer.selectExpr(*df.columns, f"_b * {FAN_OUT**2} + _p AS _b")
 
 
 def running_totals(
-    df: DataFrame, groups: list[str], value: str, sums: list[str], group_bound: int | None = None
+    df: DataFrame, groups: list[str], value: str, sums: list[str], group_bound: int | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add `before_<s>`: the total of `s` over all smaller values of the group.
 
-    `df` has one row per (group, value); aggregate equal values first, which also absorbs heavy ties.
+    `df` has one row per (group, value); aggregate equal values first, which also absorbs heavy ties, and store it: it
+    is read for bounds, bucket sizes and totals.
     `group_bound` is the number of groups where the caller knows it. Null is a group of its own.
     """
-    bucketed = _value_buckets(df, groups, value, group_bound)
+    bucketed = _value_buckets(df, groups, value, group_bound, bucket_rows)
     totals = bucketed.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.expressions import zero_fill
 from ledgerlens.operators import features as X
 from ledgerlens.operators import stats as S
-from ledgerlens.operators.ordering import hash_row_number, running_totals
+from ledgerlens.operators.ordering import _value_buckets, hash_row_number, running_totals
 from ledgerlens.plans.panel import complete_panel, derive_items
 
 
@@ -78,6 +78,23 @@ def test_running_totals(spark, groups):
         assert r.before_n == sum(q.n for q in peers if q.v < r.v)
 
 
+def test_running_totals_split_large_buckets(spark):
+    """One group holds nearly all rows, one is null, values lie far apart and close together."""
+    rows = spark.range(12000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN 1 ELSE 0 END AS g",
+        "CASE WHEN id < 6000 THEN 5 + id * 1e-9 ELSE pow(1.001, id) * (id % 2 * 2 - 1) END AS v", "id % 5 + 1 AS n",
+    )
+    plain = "coalesce(sum(n) OVER (PARTITION BY g ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+    assert not rows.groupBy("g", "v").count().filter("count > 1").count()
+    for limit in (30, 500):
+        found = running_totals(rows, ["g"], "v", ["n"], bucket_rows=limit)
+        both = found.selectExpr("*", f"{plain} AS plain")
+        assert both.count() == 12000 and both.filter("before_n <> plain").count() == 0
+        buckets = _value_buckets(rows, ["g"], "v", None, limit)
+        assert buckets.groupBy("g", "_b").count().agg(F.max("count")).first()[0] <= limit
+    assert rows.filter("g IS NULL").count() > 0
+
+
 def test_ratios_and_fill(spark):
     rows = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (None, 1.0), (float("inf"), 1.0), (float("nan"), 1.0)], "a double, b double")
     filled = zero_fill(rows.selectExpr("try_divide(a, b) AS x"), ["x"])
