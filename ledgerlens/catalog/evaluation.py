@@ -14,6 +14,7 @@ from ledgerlens.operators import metrics as M
 from ledgerlens.operators import models as ML
 from ledgerlens.operators import resample as R
 from ledgerlens.operators import tuning as T
+from ledgerlens.operators.bagging import fit_bagged_trees, out_of_bag_importance, out_of_bag_scores
 from ledgerlens.operators.canonical import rank_candidates
 from ledgerlens.operators.dedup import annual_facts
 from ledgerlens.operators.features import ACCRUAL_TERMS, FEATURES, band_label, column_filter, ols_residuals
@@ -299,6 +300,43 @@ def ml5(spark, sf_dir):
     return ranked.orderBy(F.col("importance").desc(), "feature").limit(10)
 
 
+TREES = ML.SCORING_PARAMS["forest"]["trees"]
+_BALANCED_SQL = _CHANGED_SQL + f""",
+train AS (SELECT FY_symbol, CAST(label AS INT) AS truth, row_number() OVER w AS place FROM labelled
+  WINDOW w AS (PARTITION BY label ORDER BY md5(concat(FY_symbol, '#1')), FY_symbol)
+  QUALIFY row_number() OVER w <= floor(COUNT(*) OVER (PARTITION BY label) * 0.7::DOUBLE)),
+balanced AS (SELECT FY_symbol, truth FROM train WHERE place <= (SELECT MIN(n) FROM (SELECT COUNT(*) AS n FROM train GROUP BY truth))),
+unseen AS (SELECT FY_symbol, truth, COUNT(*) AS trees FROM balanced, range({TREES}) t(tree)
+  WHERE ('0x' || substr(md5(concat(FY_symbol, '#1#', tree)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < exp(-1) GROUP BY FY_symbol, truth)"""
+
+
+def _bagged(spark, sf_dir):
+    """Balanced training rows, stored, and the trees of a bagged forest at the scoring parameters, once per session and input."""
+    key = (spark.sparkContext.applicationId, "bagged", sf_dir)
+    if key not in _MODELS:
+        train = _train(spark, sf_dir)
+        rows = cut_lineage(R.downsample(train.select(KEY, LABEL, *FEATURES), LABEL, KEY))
+        few = rows.coalesce(max(1, -(-rows.count() // ML.ROWS_PER_FIT_TASK)))
+        _MODELS[key] = few, fit_bagged_trees(few, FEATURES, LABEL, KEY, **ML.SCORING_PARAMS["forest"])
+    return _MODELS[key]
+
+
+@query("ml2_out_of_bag", V.sql(_BALANCED_SQL, select=f"SELECT {KEY}, truth, trees, true AS valid FROM unseen"))
+def ml2_out_of_bag(spark, sf_dir):
+    """Training rows with the number of trees that have not seen them, which vote on them; `valid` says that the vote is there."""
+    rows, models = _bagged(spark, sf_dir)
+    scored = out_of_bag_scores(models, rows, FEATURES, LABEL, KEY)
+    return scored.select(KEY, "truth", "trees", F.coalesce(F.col("score").between(0.0, 1.0), F.lit(False)).alias("valid"))
+
+
+@query("ml5_out_of_bag_importance", "SELECT feature, true AS valid FROM (VALUES %s) t(feature)" % ", ".join(f"('{f}')" for f in FEATURES))
+def ml5_out_of_bag(spark, sf_dir):
+    """Every feature; `valid` says that its importance is a difference of accuracies."""
+    rows, models = _bagged(spark, sf_dir)
+    found = out_of_bag_importance(models, rows, FEATURES, LABEL, KEY)
+    return found.select("feature", F.coalesce(F.col("importance").between(-1.0, 1.0), F.lit(False)).alias("valid"))
+
+
 @query("ml6_predict_text", V.sql(_TESTED_SQL, select="SELECT symbol, fy, true AS known FROM tested"))
 def ml6(spark, sf_dir):
     test = split(spark, sf_dir).filter(~F.col("is_train"))
