@@ -16,6 +16,7 @@ from ledgerlens.plans.panel import complete_panel, derive_items
 from ledgerlens.rules import MANUAL_IDENTIFIERS
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.company_facts import explode_facts, parse_documents, parse_report
+from ledgerlens.sources.landing import land_documents, landed_facts, read_landed
 from ledgerlens.sources.readers import (
     parse_directory, read_company_facts, read_constituents, read_delimited,
 )
@@ -211,13 +212,36 @@ def p17(spark, sf_dir):
     )
 
 
-# ---------------------------------------------------------------- nested documents
+def _landed(spark, sf_dir, tags=None):
+    path = scratch_path(spark, "landed")
+    land_documents(documents(spark, sf_dir), path, 0)
+    facts = landed_facts(read_landed(spark, path, tags))
+    return facts.select("symbol", "ns", "tag", "fy", "form", F.col("end").alias("end_date"), "val", "accn", "pos.part", "pos.idx")
 
 
-@query("n1_explode_facts", V.sql(V.FACTS_SQL, select=f"""SELECT symbol, ns, tag, fy, form, "end" AS end_date,
+_PLACED_SELECT = f"""SELECT symbol, ns, tag, fy, form, "end" AS end_date,
   CAST(val AS DOUBLE) AS val, CAST(accn AS VARCHAR) AS accn, CAST(accn // {V.ORDERS_PER_PART} AS INT) AS part,
   CAST(row_number() OVER (PARTITION BY symbol, accn // {V.ORDERS_PER_PART}, ns, tag ORDER BY accn, line, item) - 1 AS INT) AS idx
-  FROM facts"""))
+  FROM facts"""
+_CONCEPTS = ["Assets", "NetIncomeLoss", "Revenues"]
+
+
+@query("src3_land_documents", V.sql(V.FACTS_SQL, select=_PLACED_SELECT))
+def src3_land(spark, sf_dir):
+    """Every fact, read from concepts that were landed as VARIANT."""
+    return _landed(spark, sf_dir)
+
+
+@query("src3_read_concepts", V.sql(V.FACTS_SQL, select=f"""{_PLACED_SELECT} WHERE tag IN ('{"', '".join(_CONCEPTS)}')"""))
+def src3_concepts(spark, sf_dir):
+    """The facts of three concepts: files and row groups of others are not read."""
+    return _landed(spark, sf_dir, _CONCEPTS)
+
+
+# ---------------------------------------------------------------- nested documents
+
+
+@query("n1_explode_facts", V.sql(V.FACTS_SQL, select=_PLACED_SELECT))
 def n1(spark, sf_dir):
     facts = explode_facts(parse_documents(documents(spark, sf_dir)))
     return facts.select("symbol", "ns", "tag", "fy", "form", F.col("end").alias("end_date"), "val", "accn", "pos.part", "pos.idx")
