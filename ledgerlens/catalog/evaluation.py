@@ -266,6 +266,17 @@ def _checked(scored, cut):
     return scored.select("symbol", "fy", F.col(LABEL).cast("int").alias("truth"), agrees.alias("valid"))
 
 
+@query("m12_last_fit_confusion", V.sql(_TESTED_SQL, select="""SELECT model, truth, COUNT(*) AS n
+  FROM tested, (VALUES ('lasso'), ('forest'), ('kernel')) m(model) GROUP BY ALL"""))
+def m12_confusion(spark, sf_dir):
+    """Test rows of each class in the confusion matrices of three last fits at the scoring parameters; for boosting see `ml3_*`."""
+    table = split(spark, sf_dir)
+    params = {"lasso": {"penalty": 0.02}, "forest": QUERY_PARAMS["forest"], "kernel": QUERY_PARAMS["kernel"]}
+    found = [T.last_fit(k, table, FEATURES, LABEL, KEY, **p)[2].withColumn("model", F.lit(k)) for k, p in params.items()]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select("model", F.col("truth").cast("int").alias("truth"), (F.col("pred_1") + F.col("pred_0")).alias("n"))
+
+
 @query("ml2_random_forest", _TESTED)
 def ml2(spark, sf_dir):
     return _predicted("forest", spark, sf_dir)

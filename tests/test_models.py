@@ -12,7 +12,7 @@ from ledgerlens.operators import models as ML
 from ledgerlens.operators import resample as R
 from ledgerlens.operators import tuning as T
 from ledgerlens.operators.kernel import RandomFourierFeatures
-from ledgerlens.plans.training import tuned_fit
+from ledgerlens.plans.training import chosen_params, tuned_fit, tuned_models
 from ledgerlens.sources.writers import load_model, save_model
 
 FEATURES = ["x0", "x1", "x2", "x3"]
@@ -137,6 +137,39 @@ def test_tuned_fit(planted):
     assert list(model.stages[0].getInputCols()) == FEATURES
 
 
+def as_table(planted):
+    return planted.select(F.lit("s").alias("symbol"), F.lit(2020).alias("fy"), F.col("id").alias("FY_symbol"), *FEATURES, F.col("label").alias("DiscretionaryAccrualsBinary"))
+
+
+def test_a_configuration_is_chosen_by_metric_or_number(planted):
+    grid = R.grid_points(penalty=[1e-3, 0.2, 0.9])
+    model, tuning, _, confusion = tuned_fit("lasso", as_table(planted), grid, folds=2, config=2)
+    alone = ML.fit_balanced("lasso", R.stratified_split(as_table(planted), "DiscretionaryAccrualsBinary", "FY_symbol").filter("is_train"), FEATURES, "DiscretionaryAccrualsBinary", "FY_symbol", penalty=0.2)
+    assert np.allclose(list(ML.coefficients(model, FEATURES).values()), list(ML.coefficients(alone, FEATURES).values()))
+    assert sum(r.pred_1 + r.pred_0 for r in confusion.collect()) == R.stratified_split(as_table(planted), "DiscretionaryAccrualsBinary", "FY_symbol").filter("NOT is_train").count()
+    for metric in M.METRICS:
+        means = {r.config: r["mean"] for r in tuning.filter(F.col("metric") == metric).collect()}
+        best = min(c for c, m in means.items() if m == max(means.values()))
+        assert chosen_params(tuning, grid, metric) == {"penalty": grid[best - 1]["penalty"]}
+    assert chosen_params(tuning, grid, "accuracy", 3) == {"penalty": 0.9}
+    for wrong in ({"config": 4}, {"metric": "precision"}):
+        with pytest.raises(ValueError):
+            tuned_fit("lasso", as_table(planted), grid, folds=2, **wrong)
+
+
+def test_lasso_leaves_the_table_on_which_models_are_tuned(planted):
+    grids = {"lasso": R.grid_points(penalty=[0.05, 0.06]), "forest": R.grid_points(mtry=[1, 2], trees=[8]), "kernel": R.grid_points(sigma=[0.05], cost=[10.0])}
+    kept, models = tuned_models(as_table(planted), grids, folds=2, choices={"forest": {"metric": "roc_auc"}, "lasso": {"config": 2}})
+    inputs = [c for c in kept.columns if c in FEATURES]
+    assert "x0" in inputs and not {"x2", "x3"} & set(inputs)
+    assert set(models) == {"forest", "kernel"}
+    for model, tuning, tested, confusion in models.values():
+        assert list(model.stages[0].getInputCols()) == inputs and tuning.count() % 4 == 0
+        assert {r.metric: r.value for r in tested.collect()}["roc_auc"] > 0.85 and confusion.count() == 2
+    with pytest.raises(ValueError):
+        tuned_models(as_table(planted), {"lasso": R.grid_points(penalty=[5.0])}, folds=2)
+
+
 def test_importance_ranks_the_driver_first(planted):
     model = ML.fit_balanced("forest", planted, FEATURES, "label", "id", mtry=2, trees=15)
     rows = {r.feature: r.importance for r in T.permutation_importance(model, planted, FEATURES, "label", "id").collect()}
