@@ -59,7 +59,7 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op3_extendible_sharding", """
+_SHARDS_SQL = """
     WITH d AS (
         SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
                ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT // 2 AS bits
@@ -74,12 +74,21 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, bytes, depth::INT AS depth,
            CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
            shard_bytes::BIGINT AS shard_bytes, shard_docs
-    FROM sums WHERE shard_bytes <= 16777216 QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
-""")
+    FROM sums WHERE shard_bytes <= {limit} QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+"""
+
+
+@query("op3_extendible_sharding", _SHARDS_SQL.format(limit=16 << 20))
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+@query("shards_of_256_kib", _SHARDS_SQL.format(limit=256 << 10))
+def shards_of_256_kib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 at a limit that splits the small tables too; no document there is larger."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=256 << 10)
+
+
 @query("op4_exact_dedup", """
     WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS content FROM documents),
     g AS (SELECT content, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY content)

@@ -27,3 +27,8 @@ def test_plan(spark, key):
     plan = QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert {n for n in NODES if n in plan} <= PYTHON.get(key, set())
+
+
+def test_small_shards_split(spark):
+    depths = {r["depth"] for r in QUERIES["shards_of_256_kib"](spark, "/root/testdata/sf0.01").select("depth").distinct().collect()}
+    assert min(depths) >= 2
