@@ -104,10 +104,16 @@ def quantile_bounds(
     return row.selectExpr(_struct("struct(_q.{c}[0] AS low, _q.{c}[1] AS high)", columns, "_b"))
 
 
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns alone, stored: a sketch, the bracket counts and the values in question are three passes over them."""
+    return cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+
+
 def mad_bounds(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP) -> DataFrame:
     """One row: struct column -> median -/+ `clip_at` scaled median absolute deviations."""
-    medians = cut_lineage(quantile_row(df, columns, [0.5]))
-    centred = df.select(*columns).withColumn("_q", medians.scalar())
+    numbers = _numbers(df, columns)
+    medians = cut_lineage(quantile_row(numbers, columns, [0.5]))
+    centred = numbers.withColumn("_q", medians.scalar())
     deviations = centred.selectExpr(*[f"abs({c} - _q.{c}[0]) AS {c}" for c in columns])
     reach = f"_d.{{c}}[0] * {MAD_SCALE}D * {float(clip_at)!r}D"
     return medians.withColumn("_d", quantile_row(deviations, columns, [0.5]).scalar()).selectExpr(
@@ -130,7 +136,10 @@ def winsorize_quantile(
     method: str = "exact",
 ) -> DataFrame:
     """Clip every column to its quantiles at `probs`, taken from `fit` (default: `df` itself)."""
-    return clip_to(df, columns, quantile_bounds(df if fit is None else fit, columns, probs, method))
+    source = df if fit is None else fit
+    if method == "exact":
+        source = _numbers(source, columns)
+    return clip_to(df, columns, quantile_bounds(source, columns, probs, method))
 
 
 def winsorize_mad(df: DataFrame, columns: list[str], clip_at: float = MAD_CLIP, fit: DataFrame | None = None) -> DataFrame:
