@@ -466,7 +466,7 @@ history = stage("history", lambda spark, sf_dir: labelled_features(
     facts_to_panel(annual_facts(V.facts(spark, sf_dir)), years=V.YEARS, ranks=ranks(spark, sf_dir))
 ))
 fitted = stage("fitted", lambda spark, sf_dir: fit_normalisation(history(spark, sf_dir), FEATURES))
-_MODELS: dict[tuple, dict] = {}
+_MODELS: dict[tuple, object] = {}
 
 
 def saved_models(spark, sf_dir):
