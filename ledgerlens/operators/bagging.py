@@ -6,34 +6,26 @@ or collected: whoever scores a row works out anew which trees are out of its bag
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.forest import fit_trees, poisson
 from ledgerlens.operators.models import FOREST_DEPTH
 from ledgerlens.operators.ordering import hash_row_number
 from ledgerlens.session import cut_lineage, scratch_path
 
-# More draws than this have a chance below 1e-10.
-_MOST_DRAWS = 12
 
-
-def draws(key: str, tree: int, seed: int) -> Column:
+def draws(key: str, tree: int | Column, seed: int) -> Column:
     """How often a row is drawn for a tree: Poisson with mean 1, by the first 52 bits of md5 of key, seed and tree."""
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}#{tree}")).cast("binary"))
-    uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    total, count = 0.0, F.lit(0)
-    for k in range(_MOST_DRAWS):
-        total += math.exp(-1) / math.factorial(k)
-        count = count + (uniform >= total).cast("int")
-    return count
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}#"), F.lit(tree).cast("string")).cast("binary"))
+    return poisson(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
 
 
 def _each_tree(df: DataFrame, trees: int, threads: int, job: Callable[[int], object]) -> list:
@@ -50,29 +42,18 @@ def _as_vectors(df: DataFrame, features: list[str], label: str, key: str) -> Dat
 
 def fit_bagged_trees(
     df: DataFrame, features: list[str], label: str, key: str, mtry: int = 7, trees: int = 200, depth: int = FOREST_DEPTH,
-    least_rows: int = 1, seed: int = 1, threads: int = 8,
-) -> list[RandomForestClassificationModel]:
+    least_rows: int = 1, seed: int = 1,
+) -> list[DecisionTreeClassificationModel]:
     """One fitted tree per place of the list, tree t on the rows that `draws(key, t, seed)` gives it.
 
     `key` tells rows apart: rows that share one are drawn together, so no copy of a training row is out of bag.
     """
-    rows = _as_vectors(df, features, label, key).withColumn("_features", array_to_vector("_x")).drop("_x").persist()
-
-    def fit(t: int) -> RandomForestClassificationModel:
-        estimator = RandomForestClassifier(
-            featuresCol="_features", labelCol="truth", weightCol="_w", numTrees=1, bootstrap=False, maxDepth=depth,
-            minInstancesPerNode=least_rows, featureSubsetStrategy=str(min(mtry, len(features))), seed=seed * 100_000 + t,
-        )
-        return estimator.fit(rows.withColumn("_w", draws("_k", t, seed).cast("double")).filter("_w > 0"))
-
-    try:
-        return _each_tree(df, trees, threads, fit)
-    finally:
-        rows.unpersist()
+    rows = _as_vectors(df, features, label, key).select("_k", F.col("truth").alias("y"), F.col("_x").alias("x"))
+    return fit_trees(rows, draws("_k", F.col("tree"), seed), len(features), "truth", mtry, trees, depth, least_rows, seed).trees
 
 
 def out_of_bag_scores(
-    models: list[RandomForestClassificationModel], df: DataFrame, features: list[str], label: str, key: str, seed: int = 1, threads: int = 8,
+    models: list[DecisionTreeClassificationModel], df: DataFrame, features: list[str], label: str, key: str, seed: int = 1, threads: int = 8,
 ) -> DataFrame:
     """(key, truth, trees, score) of the rows of `df`: the share of votes for class 1 among the trees that have not seen a row.
 
@@ -91,7 +72,7 @@ def out_of_bag_scores(
 
 
 def out_of_bag_importance(
-    models: list[RandomForestClassificationModel], df: DataFrame, features: list[str], label: str, key: str, seed: int = 1, threads: int = 8,
+    models: list[DecisionTreeClassificationModel], df: DataFrame, features: list[str], label: str, key: str, seed: int = 1, threads: int = 8,
 ) -> DataFrame:
     """(feature, importance): what a tree loses in accuracy on the rows it has not seen when a feature is shuffled, over all trees.
 
