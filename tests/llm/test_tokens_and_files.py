@@ -30,6 +30,15 @@ def test_codec_equals_whole_text_encoding(name, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_many(texts)] == [whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_marks_and_line_ends_make_no_new_words(name):
+    text = "alpha beta alpha. beta, alpha\nbeta (alpha)\nbeta alpha.\nBéta\nβeta"
+    codec = Codec(public_path(name))
+    assert np.frombuffer(codec.encode_many([text])[0], "<u4").tolist() == CODECS[name][1](text)
+    words = {x.strip("\n") for x in codec.known}
+    assert {x for x in words if "alpha" in x} <= {"alpha", "(alpha"} and {x for x in words if "beta" in x} <= {"beta"}
+
+
 def _check_pieces(rows, pieces, encode, capacity, end_id):
     documents, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
