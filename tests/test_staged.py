@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import models as ML
+from ledgerlens.operators import staged
 from ledgerlens.operators import tuning as T
 from ledgerlens.operators.resample import grid_points
 from ledgerlens.operators.staged import fit_boosting_stopped, staged_losses, staged_scores, stopping_round
+from ledgerlens.sources.writers import load_model, save_model
 
 FEATURES = ["a", "b"]
 
@@ -51,6 +53,23 @@ def test_stopped_fit_equals_stopping_one_long_fit(rows):
     assert final and best == want == len(model.stages[-1].trees) and size < 40
 
 
+def test_stopping_fits_no_round_twice_at_the_end(rows, monkeypatch, tmp_path):
+    train, test, sizes = rows.filter("fold = 0"), rows.filter("fold = 1"), []
+
+    def fit(*args, trees, **more):
+        sizes.append(trees)
+        return ML.fit_boosting(*args, trees=trees, **more)
+
+    monkeypatch.setattr(staged, "fit_boosting", fit)
+    model, best, size = fit_boosting_stopped(train, test, FEATURES, "label", trees=40, learn_rate=0.1, patience=4, first=4)
+    assert 1 < best < size and sizes == [4 * 2**k for k in range(len(sizes))] and sizes[-1] == size
+    refit = ML.fit_boosting(train, FEATURES, "label", trees=best, depth=3, learn_rate=0.1)
+    scores = lambda m: [(r.key, r.pred, r.score) for r in ML.predict(m, test).orderBy("key").collect()]
+    assert scores(model) == scores(refit)
+    save_model(model, str(tmp_path / "model"))
+    assert scores(load_model(str(tmp_path / "model"))) == scores(refit)
+
+
 def test_forest_sizes_are_blocks(rows):
     grid = grid_points(mtry=[1], trees=[50, 100])
     got = {(r.config, r.fold, r.metric): r.value for r in T.tune_grid("forest", rows, FEATURES, "label", "key", grid).collect()}
