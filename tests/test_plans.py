@@ -44,3 +44,8 @@ def test_items_take_one_hash_aggregate(spark):
     plan = plan_of(all_queries()["c3_resolve_items"](spark, SF_DIR))
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan and "SortAggregate" not in plan
+
+
+def test_the_two_year_window_derives_its_facts_once(spark):
+    plan = plan_of(all_queries()["s1_two_year_window"](spark, SF_DIR))
+    assert "l_orderkey" not in plan and "Scan ExistingRDD" in plan
