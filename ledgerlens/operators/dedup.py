@@ -2,6 +2,7 @@
 
 Each of these filters on `row_number() = 1`, which Spark plans as a group limit before the shuffle: a map
 task forwards at most one row per key, so a key that holds a third of the input costs no more than another.
+`annual_facts` is the exception: nearly all its rows are the first of their key, so it shuffles them as they are.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ def annual_facts(facts: DataFrame, dedupe: str = "before_filter") -> DataFrame:
     """Facts of annual filings, one per period end.
 
     By default the first fact per `end` is chosen before the filing filter, so an earlier 10-Q that reports
-    the same `end` hides the 10-K. `after_filter` chooses among the annual facts only.
+    the same `end` hides the 10-K. `after_filter` chooses among the annual facts only. Facts are shuffled by firm and
+    tag, which is part of this key and of the one of `keep_last`: a following `keep_last` finds its rows together.
     """
     if dedupe == "before_filter":
-        return first_per_end(facts).filter(annual_filing())
-    return first_per_end(facts.filter(annual_filing()))
+        return first_per_end(facts.repartition("symbol", "tag")).filter(annual_filing())
+    return first_per_end(facts.filter(annual_filing()).repartition("symbol", "tag"))
 
 
 def keep_last(facts: DataFrame) -> DataFrame:

@@ -43,6 +43,20 @@ def test_a_key_with_most_rows_is_reduced_before_the_shuffle(spark):
     assert kept.filter("symbol = 'HOT'").first().val == 29_999.0
 
 
+def test_both_choices_of_a_kept_fact_take_one_shuffle(spark):
+    rows = facts(spark, [
+        ("A", "g", "Cash", 2020, "2020-12-31", "10-Q", 1.0, 0), ("A", "g", "Cash", 2020, "2020-12-31", "10-K", 2.0, 1),
+        ("A", "d", "Cash", 2020, "2020-06-30", "10-K", 3.0, 2), ("A", "g", "Cash", 2020, "2020-06-30", "10-K", 4.0, 3),
+        ("A", "g", "Cash", 2021, "2020-06-30", "10-K", 5.0, 4), ("A", "g", "Cash", 2020, None, "10-K", 6.0, 5),
+        (None, "g", "Cash", 2020, "2020-06-30", "10-K", 7.0, 6),
+    ])
+    kept = keep_last(annual_facts(rows))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.symbol, r.val) for r in kept.collect()} == {("A", 4.0), (None, 7.0)}
+    after = keep_last(annual_facts(rows, dedupe="after_filter"))
+    assert {(r.symbol, r.val) for r in after.collect()} == {("A", 2.0), (None, 7.0)}
+
+
 def test_last_snapshot_keeps_nulls(spark):
     rows = spark.createDataFrame([Row(d="2020-01-01", s="A"), Row(d="2020-06-01", s=None)]).selectExpr(
         "date(d) AS date", "year(date(d)) AS year", "s"
