@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import models as ML
 from ledgerlens.operators import tuning as T
-from ledgerlens.operators.penalty_path import entry_penalties, path_scores, penalty_path
-from ledgerlens.operators.resample import downsample, grid_points
+from ledgerlens.operators.metrics import class_metrics, fold_metrics, roc_auc
+from ledgerlens.operators.penalty_path import entry_penalties, fold_members, path_scores, penalty_path
+from ledgerlens.operators.resample import downsample, downsample_folds, grid_points
 
 FEATURES = ["a", "b", "c", "flat"]
 
@@ -57,3 +58,22 @@ def test_grid_metrics_equal_fits_one_by_one(rows):
     path = penalty_path(rows, FEATURES, "label", "key", [0.01], "fold")
     scored = path_scores(path, rows, "label", "fold", [7])
     assert scored.count() == 400 and {r[0] for r in scored.select("config").distinct().collect()} == {7}
+
+
+def test_rows_are_stored_once_with_the_folds_that_learn_from_them(rows):
+    odd = rows.withColumn("label", F.expr("IF(key = 'k7', NULL, label)")).withColumn("fold", F.expr("IF(key = 'k9', NULL, fold)"))
+    for table in (rows, rows.filter("label = 1 OR c > 0.05"), odd):
+        marked = downsample_folds(table, "label", "key", "fold", [0, 1, 2]).select("key", F.explode("models").alias("model")).collect()
+        for k in range(3):
+            wanted = downsample(table.filter(F.col("fold") != k), "label", "key")
+            assert sorted(r.key for r in marked if r.model == k) == sorted(r.key for r in wanted.collect())
+    assert fold_members(rows, FEATURES, "label", "key", "fold").count() <= 400
+
+
+def test_fold_metrics_are_those_of_rows(spark):
+    scored = spark.range(200).selectExpr(
+        "int(id % 3) AS g", "IF(id % 11 = 0, NULL, int(id % 2)) AS truth", "IF(id % 13 = 0, NULL, int(id % 5 > 2)) AS pred", "(id * 37 % 50) / 50D AS score"
+    )
+    got = {(r.g, r.metric): r.value for r in fold_metrics(scored, ["g"], group_bound=3).collect()}
+    rates = class_metrics(scored, ["g"]).join(roc_auc(scored, ["g"]), "g")
+    assert got == {(r.g, m): r[m] for r in rates.collect() for m in ("accuracy", "sensitivity", "specificity", "roc_auc")}
