@@ -77,3 +77,13 @@ def test_fold_metrics_are_those_of_rows(spark):
     got = {(r.g, r.metric): r.value for r in fold_metrics(scored, ["g"], group_bound=3).collect()}
     rates = class_metrics(scored, ["g"]).join(roc_auc(scored, ["g"]), "g")
     assert got == {(r.g, m): r[m] for r in rates.collect() for m in ("accuracy", "sensitivity", "specificity", "roc_auc")}
+
+
+def test_folds_of_other_models_are_downsampled_by_one_pass(rows, monkeypatch):
+    grid = grid_points(trees=[2], learn_rate=[0.1], depth=[2])
+    model = ML.fit_balanced("boosting", rows.filter("fold <> 1"), FEATURES, "label", "key", trees=2, learn_rate=0.1, depth=2)
+    tested = ML.predict(model, rows.filter("fold = 1")).collect()
+    monkeypatch.setattr(ML, "downsample", lambda *_, **__: pytest.fail("a fold was down-sampled by itself"))
+    got = {(r.fold, r.metric): r.value for r in T.tune_grid("boosting", rows, FEATURES, "label", "key", grid).collect()}
+    assert len(got) == 3 * 4
+    assert abs(got[1, "accuracy"] - sum(r.pred == r.label for r in tested) / len(tested)) < 1e-9
