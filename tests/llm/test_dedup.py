@@ -186,6 +186,43 @@ def test_lines_of_any_edits_against_brute_edit_similarity(frame):
     assert len(links) > 20 and got == {i: first[group[n]] for i, _, n in _plain_lines(rows)}
 
 
+def test_segments_list_every_link_and_few_unlike_lines_in_any_number_of_rounds(spark, monkeypatch):
+    """Lines of a few syllables share segments by chance, and a pair that does was listed before; some lines repeat one word."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["th", "an", "ed", "in", "re", "on", "st", "\U00010400e"]) for _ in range(rng.randrange(1, 5)))
+    norms = set()
+    for size in [3, 8, 12, 20, 30, 40, 60, 80, 120] * 12:
+        base = " ".join(word() for _ in range(size // 5 + 1))
+        norms.add(base)
+        for share in (.08, .15):
+            text = list(base)
+            for at in rng.sample(range(len(text)), int(len(text) * share)):
+                text[at] = rng.choice(["", "z", text[at] + "z"])
+            norms.add(" ".join("".join(text).split()))
+        norms.add(base[int(len(base) * .15):].strip())
+    norms |= {"an ed " * n + tail for n in (40, 42, 300, 310) for tail in ("x", "in st")}
+    norms = sorted(norms - {""})
+    lines = spark.createDataFrame([(i, n, i) for i, n in enumerate(norms)], "node long, norm string, component long")
+    both = lines.selectExpr("node as a", "norm as x").join(lines.selectExpr("node as b", "norm as y"), F.expr(
+        "a < b AND levenshtein(x, y) <= cast(floor(greatest(length(x), length(y)) * 0.15D + 1e-9D) as int)"))
+    links = {(r.a, r.b) for r in both.select("a", "b").collect()}
+    for least in (1_000_000, 2_000):
+        monkeypatch.setattr(line_dedup, "_ROUND", least)
+        got = {(r.a, r.b) for r in line_dedup.segment_pairs(lines, 0.85).collect()}
+        assert len(links) > 100 and links <= got
+        assert len(got - links) < len(links)
+
+
+def test_rounds_hold_each_pair_of_classes_once(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_ROUND", 100)
+    chars = {1: 5, 4: 90, 5: 20, 6: 1000, 7: 130, 9: 3, 10: 90}
+    rounds = line_dedup._rounds(chars, 0.85)
+    for c in chars:
+        for place in range(12):
+            assert sum(first <= c <= last and here <= place <= there for first, last, here, there in rounds) == 1
+    assert len(rounds) > len(chars)
+
+
 def test_edits_without_common_ends(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(9)))
