@@ -205,3 +205,12 @@ def test_stream_passes_over_what_is_filed_again(spark, tmp_path):
     seen.clear()
     start_scoring(spark, *paths, score, files_per_batch=1).awaitTermination()
     assert [x for x in seen if x[1]] == [(2 * items + 1, [("A", 2022), ("A", 2023)])]
+
+
+def test_scores_come_from_all_rounds(spark):
+    """`s4_score_batch` and `s6_score_stream` vote with the models of `SCORING_PARAMS`, not with their first rounds."""
+    from ledgerlens.catalog.evaluation import saved_models
+    from ledgerlens.operators.models import SCORING_PARAMS
+
+    models = saved_models(spark, "/root/testdata/sf0.001")
+    assert {k: len(models[k].stages[-1].trees) for k in ("forest", "boosting")} == {k: SCORING_PARAMS[k]["trees"] for k in ("forest", "boosting")}
