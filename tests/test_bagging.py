@@ -73,3 +73,15 @@ def test_rows_that_share_a_key_go_together(spark, planted):
     unseen = planted.limit(60).filter(B.draws("id", 0, 1) == 0).count()
     one = B.out_of_bag_scores(trees[:1], twice, FEATURES, "label", "id")
     assert one.count() == unseen
+
+
+def test_jobs_do_not_grow_with_the_trees(spark, planted, forest):
+    """Votes and importance were a job for each tree."""
+    context, few = spark.sparkContext, {}
+    for trees in (2, 24):
+        context.setJobGroup(f"bag-{trees}", "bagging")
+        assert B.out_of_bag_scores(forest[:trees], planted, FEATURES, "label", "id", seed=2).count() > 0
+        assert B.out_of_bag_importance(forest[:trees], planted, FEATURES, "label", "id", seed=2).count() == 4
+        few[trees] = len(context.statusTracker().getJobIdsForGroup(f"bag-{trees}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(few[24] - few[2]) <= 2
