@@ -87,3 +87,36 @@ def test_folds_of_other_models_are_downsampled_by_one_pass(rows, monkeypatch):
     got = {(r.fold, r.metric): r.value for r in T.tune_grid("boosting", rows, FEATURES, "label", "key", grid).collect()}
     assert len(got) == 3 * 4
     assert abs(got[1, "accuracy"] - sum(r.pred == r.label for r in tested) / len(tested)) < 1e-9
+
+
+def test_scores_of_some_penalties_are_stored_at_a_time(spark, monkeypatch):
+    """What was stored for some penalties is deleted before the next ones are scored; the metrics are those of all at once."""
+    from ledgerlens.operators import resample as R
+    from ledgerlens.operators import tuning as T
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 2))
+    rows = spark.createDataFrame([(f"k{i}", int(v[0] + rng.normal() > 0), i % 3, float(v[0]), float(v[1])) for i, v in enumerate(x)], "key string, label int, fold int, a double, b double").coalesce(2)
+    grid = R.grid_points(penalty=[0.2, 0.05, 0.01, 0.002, 0.0005])
+    tune = lambda: {(r.config, r.fold, r.metric): r.value for r in T.tune_grid("lasso", rows, ["a", "b"], "label", "key", grid).collect()}
+    together, stored, scored = tune(), [], []
+    drop, scores = T.parts_dropped, T.path_scores
+    monkeypatch.setattr(T, "parts_dropped", lambda: stored.append(1) or drop())
+    monkeypatch.setattr(T, "path_scores", lambda *args: scored.append(args[-1]) or scores(*args))
+    monkeypatch.setattr(T, "SCORES_AT_ONCE", 480)
+    apart = tune()
+    assert len(stored) == 3 and scored == [slice(0, 2), slice(2, 4), slice(4, 6)]
+    assert set(apart) == set(together) and all(abs(apart[k] - v) < 1e-12 for k, v in together.items())
+
+
+def test_parts_of_a_stored_result_are_deleted(spark):
+    import os
+
+    from ledgerlens.session import cut_lineage, parts_dropped
+
+    path = lambda df: df._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:")
+    with parts_dropped():
+        part = cut_lineage(spark.range(10).repartition(2))
+        assert os.path.exists(path(part))
+        whole = cut_lineage(part.selectExpr("id + 1 AS id"))
+    assert not os.path.exists(path(part)) and os.path.exists(path(whole)) and whole.count() == 10
